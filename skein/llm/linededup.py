@@ -88,16 +88,16 @@ def copies(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The table without later copies of repeated line runs; adds n_removed (lines) and removed_runs (first and last line of each)."""
-    rows = docs.withColumn("rid", F.monotonically_increasing_id())
-    rows = save(rows, "numbered")
-    gone = copies(rows.select("rid", "doc_id", F.col("text").cast("string").alias("text")), min_words)
+    # the row travels whole, so that its columns can have any names
+    rows = save(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "numbered")
+    gone = copies(rows.select("rid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").cast("string").alias("text")), min_words)
     gone = save(gone.groupBy("rid").agg(F.array_sort(F.collect_set("line")).alias("gone")), "gone")
-    parts = F.split("text", "\n")
-    kept = F.filter(parts, lambda x, i: ~F.array_contains(F.col("gone"), i))
+    kept = F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i))
     out = rows.join(gone, "rid", "left")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
     starts = F.filter("gone", lambda x: ~F.array_contains(F.col("gone"), x - 1))
     ends = F.filter("gone", lambda x: ~F.array_contains(F.col("gone"), x + 1))
     runs = F.coalesce(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("first"), b.alias("last"))), F.array().cast("array<struct<first:int,last:int>>"))
-    out = out.withColumns({"text": text, "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long"), "removed_runs": runs})
-    return out.where(F.col("gone").isNull() | F.col("text").rlike(_WORD)).drop("rid", "gone")
+    removed = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
+    out = out.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns], removed.alias("n_removed"), runs.alias("removed_runs"))
+    return out.where((F.col("n_removed") == 0) | F.col("text").rlike(_WORD))

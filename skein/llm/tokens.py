@@ -59,27 +59,38 @@ class PieceEncoder:
         return parts[:1] + [" " + p for p in parts[1:]]
 
     def word(self, word: str) -> bytes:
-        letters = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
-        ids = self.ids
-        return b"".join([ids[t.id] for t in self.merge(letters)])
+        """Ids of one word of the vocabulary's pattern."""
+        v = self.words.get(word)
+        if v is None:
+            if word.isascii() and word[1:].isalpha():
+                letters = "\u0120" + word[1:] if word[0] == " " else word
+            else:
+                letters = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            ids = self.ids
+            v = b"".join([ids[t.id] for t in self.merge(letters)])
+            if len(word) <= self.LONGEST:
+                if len(self.words) >= self.KEEP:
+                    self.words.clear()
+                self.words[word] = v
+        return v
 
     def learn(self, wanted: list[str]) -> dict[str, bytes]:
         out, whole = {}, []
-        words, pattern = self.words, _BYTE_WORDS if self.spaces_count else _LOWER_WORDS
+        spaces, known, pattern = self.spaces_count, self.words, _BYTE_WORDS if self.spaces_count else _LOWER_WORDS
+        marks = {c: self.word(c) for c in ",.!?;:"}
         for piece in wanted:
-            if "<|" in piece or not _PLAIN.fullmatch(piece):
+            # the common case: letters, then at most one mark
+            tail = marks.get(piece[-1:])
+            word = piece[:-1] if tail else piece
+            if (word[1:] if spaces and word[:1] == " " else word).isalpha() and (word.isascii() or _PLAIN.fullmatch(word)):
+                if not spaces:
+                    word = word.lower()
+                v = known.get(word) or self.word(word)
+                out[piece] = v + tail if tail else v
+            elif "<|" in piece or not _PLAIN.fullmatch(piece):
                 whole.append(piece)
-                continue
-            ids = []
-            for w in pattern.findall(piece if self.spaces_count else piece.lower()):
-                if (v := words.get(w)) is None:
-                    v = self.word(w)
-                    if len(w) <= self.LONGEST:
-                        if len(words) >= self.KEEP:
-                            words.clear()
-                        words[w] = v
-                ids.append(v)
-            out[piece] = b"".join(ids)
+            else:
+                out[piece] = b"".join([self.word(w) for w in pattern.findall(piece if spaces else piece.lower())])
         if whole:
             for piece, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
                 out[piece] = b"".join([self.ids[i] for i in e.ids])
