@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .fmindex import WORD
 from .lm import held_out
 
-MAX_DOCS, WINDOW, BLOCK, SLICE_CHARS = 8000, 8, 64, 5_000_000
+MAX_DOCS, WINDOW, BLOCK, SLICE_CHARS = 4000, 8, 64, 5_000_000
 MIN_DOCS, MIN_Z, MIN_ODDS, PRIOR = 5, 3.0, 3.0, 0.5
 THRESHOLD = 0.3
 
@@ -184,10 +184,10 @@ def fit(texts: list[str | None], toxic: list[int]) -> Tagger | None:
     y = np.array(toxic, dtype=float)
     if not len(y) or y.min() == y.max():
         return None
-    split = [WORD.findall(t.encode().lower()) if t else [] for t in texts]
+    words_of = lambda t: WORD.findall(t.encode().lower()) if t else []  # noqa: E731  one document's words at a time
     seen = (Counter(), Counter())
-    for s, label in zip(split, toxic, strict=True):
-        seen[label].update(set(s))
+    for text, label in zip(texts, toxic, strict=True):
+        seen[label].update(set(words_of(text)))
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     vocab, marked = {}, set()
     for word in sorted(set(seen[1]) | set(seen[0])):
@@ -202,7 +202,8 @@ def fit(texts: list[str | None], toxic: list[int]) -> Tagger | None:
             marked.add(word)
     ids, marks = [], []
     width = 2 * WINDOW + 1
-    for k, (s, label) in enumerate(zip(split, toxic, strict=True)):
+    for k, (text, label) in enumerate(zip(texts, toxic, strict=True)):
+        s = words_of(text)
         if not s:
             continue
         at = [i for i, w in enumerate(s) if w in marked]
@@ -214,10 +215,14 @@ def fit(texts: list[str | None], toxic: list[int]) -> Tagger | None:
             own = s[max(0, c - WINDOW) : c + WINDOW + 1]
             ids.append([vocab.get(w, 0) for w in own] + [0] * (width - len(own)))
             marks.append([int(bool(label) and w in marked) for w in own] + [0] * (width - len(own)))
+    del seen
     weights, bias, chain, start = _fit_chain(np.array(ids), np.array(marks), len(vocab) + 1)
     tagger = Tagger(vocab, weights, bias, chain, start, np.zeros(5), np.zeros((2, 4)))
-    sizes = np.array([len(s) for s in split], dtype=np.int64)
-    x = features(_marginals_of(tagger, [w for s in split for w in s], sizes), sizes)
+    parts = []
+    for i in range(0, len(texts), 100):
+        words, sizes = tokens(texts[i : i + 100])
+        parts.append(features(_marginals_of(tagger, words, sizes), sizes))
+    x = np.concatenate(parts)
     tagger.scale = np.stack([x.mean(axis=0), x.std(axis=0) + 1e-9])
     tagger.fit = _fit_logistic((x - tagger.scale[0]) / tagger.scale[1], y)
     return tagger
