@@ -48,8 +48,8 @@ def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="skein")
     sub = p.add_subparsers(dest="command")
 
-    def add(name: str, **positional) -> argparse.ArgumentParser:
-        s = sub.add_parser(name)
+    def add(command: str, **positional) -> argparse.ArgumentParser:
+        s = sub.add_parser(command)
         for k, v in positional.items():
             s.add_argument(k, **v)
         s.add_argument("--path", default=".")
@@ -77,8 +77,8 @@ def _parser() -> argparse.ArgumentParser:
         one.add_argument(flag, action="store_true")
     q.add_argument("--top", type=int, default=20)
     add("symbols")
-    for name in ("refs", "dead", "impact", "show"):
-        s = add(name, name={})
+    for command in ("refs", "dead", "impact", "show"):
+        s = add(command, name={})
         s.add_argument("--defined-in")
         s.add_argument("--depth", type=int)
         s.add_argument("--kind")

@@ -30,12 +30,21 @@ RULES: dict[str, Rules] = {
 }
 
 CHAIN = rf"{IDENT}(?:\s*(?:\?\.|\.|::|->)\s*{IDENT})*"
-KEYWORDS = frozenset(
-    "if else for while switch case return catch try do new delete throw typeof instanceof in of void function class def fn func fun sizeof alignof match "
-    "loop let const var import export from as async await yield super with unless until elif then fi done end when where select go defer range not and or is "
-    "using namespace template typename operator static_cast dynamic_cast reinterpret_cast const_cast decltype noexcept struct enum union interface trait impl "
-    "synchronized assert foreach lock fixed checked unchecked nameof default print echo isset unset empty list array require include".split()
+C_WORDS = frozenset(
+    "if else for while switch case return catch try do new delete throw sizeof alignof void const decltype noexcept static_cast dynamic_cast reinterpret_cast const_cast "
+    "struct enum union class operator template typename using namespace defined".split()
 )
+KEYWORDS = C_WORDS | frozenset(
+    "typeof instanceof in of function def fn func let var import export from as async await yield super with interface trait impl and or not is synchronized assert foreach lock "
+    "fixed checked unchecked nameof default".split()
+)
+#: Words before a parenthesis that call nothing, by language.
+WORDS = {
+    "c": C_WORDS, "cpp": C_WORDS, "objectivec": C_WORDS, "go": KEYWORDS | {"go", "defer", "range", "select"}, "rust": KEYWORDS | {"match", "loop", "pub", "where"},
+    "php": KEYWORDS | {"echo", "print", "isset", "unset", "empty", "list", "array", "require", "include", "require_once", "include_once", "elseif", "match", "exit", "die"},
+    "lua": frozenset("and or not if elseif while until return function local in for do then repeat end nil true false".split()),
+    "elixir": KEYWORDS | {"cond", "unless", "when", "do", "end"}, "ruby": KEYWORDS | {"unless", "until", "when", "then", "elsif"}, "scala": KEYWORDS | {"match"}, "swift": KEYWORDS | {"guard", "repeat", "where"},
+}
 
 
 def _tail(text: str) -> str:
@@ -58,18 +67,21 @@ def quoted(f: Facts, pattern: str) -> Iterator[tuple[str, int, int]]:
             yield m[k], m.start(k) - 1, m.end(k) + 1
 
 
-def calls(f: Facts, full: bool, skip: frozenset[str] = frozenset(), heads: str = "", generics: bool = False, pattern: str | None = None) -> None:
+def calls(f: Facts, full: bool, words: frozenset[str] = KEYWORDS, heads: str = "", generics: bool = False, pattern: str | None = None) -> None:
     """Names before a parenthesis; full keeps the receiver. heads: a pattern that marks a definition right before the name."""
     between = r"\s*(?:::)?(?:<[\w\s,.<>\[\]?:&*]*>)?" if generics else r"\s*"
     head = re.compile(rf"(?:{heads})\s*$") if heads else None
     for m in scan(f, pattern or rf"(?<![\w.$:>\x80-\xff])({CHAIN}){between}\("):
         text = _tidy(m[1])
         last = _tail(text)
-        if last in KEYWORDS | skip or text.split(".")[0] in ("function",):
+        if last in words:
             continue
         if head and head.search(f.source.code, max(0, m.start() - 60), m.start()):
             continue
         f.add_call(text if full else last, m.end(1) - len(last), m.end(1))
+    # a call on a call's result: the receiver has no name
+    for m in scan(f, rf"[)\]]\s*\??\.\s*({IDENT}){between}\("):
+        f.add_call(f"().{m[1]}" if full else m[1], m.start(1), m.end(1))
 
 
 def news(f: Facts, pattern: str = rf"\bnew\s+({IDENT}(?:\s*(?:\.|::)\s*{IDENT})*)", full: bool = False) -> None:
@@ -117,7 +129,7 @@ def _ecma(f: Facts, typed: bool) -> None:
     for m in scan(f, rf"(export\s+)?\b(?:const|let|var)\s+(({name})(?:\s*:[^=\n]+)?\s*=\s*(?:async\s*)?(?:function\b|(?:<[^>\n]*>\s*)?\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^=\n]+)?=>|{name}\s*=>))"):
         if top(m.start(2)):
             f.add_symbol(m[3], "function", bool(m[1]), m.start(2), _value_end(s, m.end()))
-    classes = []
+    classes, heads = [], set()
     for m in scan(f, rf"(export\s+(?:default\s+)?)?((?:abstract\s+)?class\s+({name}))"):
         if top(m.start(2)):
             end = s.body_end(m.end())
@@ -131,9 +143,9 @@ def _ecma(f: Facts, typed: bool) -> None:
                 continue
             if re.match(r"\s*(?::[^;{}=]+(?:\{[^{}]*\}[^;{}=]*)?)?\{", s.code[close + 1 :]):
                 f.add_symbol(m[1], "method", False, m.start(), s.body_end(close + 1))
+                heads.add(s.span(m.start(1), m.end(1)))
     calls(f, True, heads=r"function\s*\*?|class", generics=typed, pattern=rf"(?<![\w.$\x80-\xff])({name}(?:\s*\??\.\s*#?{name})*)\s*{'(?:<[^()<>=]*>)?' if typed else ''}\(")
-    method_at = {x[3][:2] for x in f.symbols if x[2] is False and x[1] == "method"}
-    f.calls = [c for c in f.calls if c[1][:2] not in method_at]
+    f.calls = [c for c in f.calls if c[1] not in heads]
     news(f, rf"\bnew\s+({name}(?:\s*\.\s*{name})*)", full=True)
     if typed:
         for m in scan(f, r":\s*([A-Z][\w$]*)|<\s*([A-Z][\w$]*)|\b(?:extends|implements)\s+([A-Za-z_$][\w$.]*)"):
@@ -167,7 +179,7 @@ def _functions(f: Facts, kind: Callable[[str, int], str], classes: list[tuple[in
     for m in _FUNCTION.finditer(s.code):
         close = s.pairs.get(m.end() - 1)
         last = _tail(m[2])
-        if close is None or last in KEYWORDS or enclosing(f, bodies, m.start(2)) or re.search(r"\b(?:return|else|typedef|new|throw)\b", m[1]) or "#" in m[1]:
+        if close is None or last in C_WORDS or enclosing(f, bodies, m.start(2)) or re.search(r"\b(?:return|else|typedef|new|throw)\b", m[1]) or "#" in m[1]:
             continue
         after = re.match(r"[\s\w]*?(?:->[^{;]+?)?(?::[^;{]*(?:\{[^{}]*\}[^;{]*)*)?\s*\{", s.code[close + 1 : close + 600])
         if not after or re.match(r"\s*[,;=)]", s.code[close + 1 :]):
@@ -195,7 +207,7 @@ def c(f: Facts) -> None:
             for d in re.finditer(rf"({IDENT})\s*(?=[,;])", s.code[end : s.code.find(";", end) + 1]):
                 if d[1] not in tags:
                     f.add_symbol(d[1], "class", True, m.start(), end + d.end())
-    calls(f, True)
+    calls(f, True, C_WORDS)
     _drop_heads(f)
 
 
@@ -219,7 +231,7 @@ def cpp(f: Facts) -> None:
     for m in scan(f, rf"(?<![\w.:>\x80-\xff])({CHAIN})\s*(?:<[\w\s,:*&<>]*>)?\s*\("):
         text = _tidy(m[1])
         last = _tail(text)
-        if last not in KEYWORDS:
+        if last not in C_WORDS:
             f.add_call(last if "::" in text else text, m.end(1) - len(last), m.end(1))
     news(f)
     _drop_heads(f)
@@ -237,7 +249,7 @@ def objectivec(f: Facts) -> None:
         f.add_symbol(m[1], "class", True, m.start() + len(m[0]) - len(m[0].lstrip()), end + 4 if end >= 0 else len(s.code.rstrip()))
     for m in scan(f, rf"^[ \t]*([-+]\s*\([^)]*\)\s*({IDENT}))"):
         f.add_symbol(m[2], "method", True, m.start(1), s.body_end(m.end()))
-    calls(f, False)
+    calls(f, False, C_WORDS)
     for m in scan(f, r"\["):
         close = s.pairs.get(m.start())
         if close is None:
@@ -317,7 +329,7 @@ def scala(f: Facts) -> None:
             end = s.body_end(m.end()) if tail and tail[0].endswith("{") else m.end() + len(tail[0].rstrip())
         start = m.start(1) if m[1] else m.start(2)
         f.add_symbol(m[3], "function" if m[2] == "def" else "class", "private" not in m[1], start, end)
-    calls(f, False, heads=r"\bdef|\bclass|\bobject|\btrait", generics=False, pattern=rf"(?<![\w.\x80-\xff])({CHAIN})(?:\[[^\]\n]*\])?\(")
+    calls(f, False, WORDS["scala"], heads=r"\bdef|\bclass|\bobject|\btrait", generics=False, pattern=rf"(?<![\w.\x80-\xff])({CHAIN})(?:\[[^\]\n]*\])?\(")
 
 
 def _scala_end(s: Source, at: int) -> int:
@@ -371,7 +383,7 @@ def swift(f: Facts) -> None:
         else:
             types.append((m.end(), end))
             f.add_symbol(m[3], "class", exported, start, end)
-    calls(f, True, heads=r"\bfunc")
+    calls(f, True, WORDS["swift"], heads=r"\bfunc")
 
 
 def go(f: Facts) -> None:
@@ -394,7 +406,7 @@ def go(f: Facts) -> None:
             end = min(s.body_end(t.end(), "\n"), close)
             f.add_symbol(t[1], "class", upper(t[1]), t.start(1), end - (s.code[end - 1] == "\n"))
             at = max(end, t.end())
-    calls(f, True, heads=r"\bfunc(?:\s*\([^)]*\))?", generics=False)
+    calls(f, True, WORDS["go"], heads=r"\bfunc(?:\s*\([^)]*\))?", generics=False)
 
 
 def zig(f: Facts) -> None:
@@ -452,7 +464,7 @@ def php(f: Facts) -> None:
         start = m.start(1) if m[1] else m.start()
         f.add_symbol(m[2], "method" if method else "function", "public" in m[1].split() if method else outer(m.start()), start, s.body_end(m.end() - 1))
     for m in scan(f, rf"(?<![\w$\\\x80-\xff])((?:\$?{IDENT}\s*(?:->|\?->|::)\s*)?)(\\?{IDENT}(?:\\{IDENT})*)\s*\("):
-        if _tail(m[2]) in KEYWORDS or re.search(r"\b(?:function|new)\s+&?\s*$", s.code[max(0, m.start() - 20) : m.start()]):
+        if _tail(m[2]) in WORDS["php"] or re.search(r"\b(?:function|new)\s+&?\s*$", s.code[max(0, m.start() - 20) : m.start()]):
             continue
         text = _tidy(m[1]) + m[2] if "::" in m[1] else m[2]
         f.add_call(text, m.start(2), m.end(2))
@@ -540,7 +552,7 @@ def rust(f: Facts) -> None:
     heads = {(x[3][0]) for x in f.symbols}
     for m in scan(f, rf"(?<![\w.:\x80-\xff])({IDENT}(?:\s*(?:\.|::)\s*{IDENT})*)\s*(!)?\s*(?:::\s*<[^()]*>)?\s*([(\[{{])"):
         text, last = _tidy(m[1]), _tail(_tidy(m[1]))
-        if not m[2] and m[3] != "(" or last in KEYWORDS or last in ("pub", "crate", "Some", "Ok", "Err", "impl", "fn") and last == "pub":
+        if not m[2] and m[3] != "(" or last in WORDS["rust"]:
             continue
         if re.search(r"\b(?:fn|macro_rules!|struct|enum|union)\s*$", s.code[max(0, m.start() - 16) : m.start()]) and s.span(m.start(), m.start())[0] in heads:
             continue
@@ -613,7 +625,7 @@ def ruby(f: Facts) -> None:
                 call, at = m[1] + m[3], m.start(1)
         else:
             recv, call, at = m[5], m[6], m.start(6)
-        if call in KEYWORDS or re.search(r"\bdef\s+(?:self\.)?$", s.code[max(0, m.start() - 12) : at]):
+        if call in WORDS["ruby"] or re.search(r"\bdef\s+(?:self\.)?$", s.code[max(0, m.start() - 12) : at]):
             continue
         if recv and recv[:1].isupper():
             f.add_call(f"{recv}.{call}", at, at + len(call))
@@ -637,7 +649,7 @@ def lua(f: Facts) -> None:
         f.add_symbol(m[2].split(".")[-1], "function", "." in m[2] or not m[1], m.start(), ends.get(m.start(3), s.line_end(m.end())))
     for m in scan(f, rf"(?<![\w.:])({IDENT}(?:[.:]{IDENT})*)\s*(?=[(\"'{{]|\[\[)"):
         last = re.split(r"[.:]", m[1])[-1]
-        if m[1] in KEYWORDS | {"local", "nil", "true", "false", "repeat", "elseif"} or re.search(r"\bfunction\s+$", s.code[max(0, m.start() - 12) : m.start()]) or s.code[m.end() : m.end() + 1] == "{" and "=" in s.code[m.start() : m.end()]:
+        if m[1] in WORDS["lua"] or re.search(r"\bfunction\s+$", s.code[max(0, m.start() - 12) : m.start()]) or s.code[m.end() : m.end() + 1] == "{" and "=" in s.code[m.start() : m.end()]:
             continue
         f.add_call(m[1], m.end(1) - len(last), m.end(1))
 
@@ -670,7 +682,7 @@ def elixir(f: Facts) -> None:
     definers = {"def", "defp", "defmacro", "defmacrop", "defmodule", "defstruct", "defimpl", "defprotocol", "defdelegate", "defguard", "defexception", "quote", "unquote", "cond"}
     for m in scan(f, rf"(?<![\w.@:])((?:(?:{mod}|{IDENT})\.)*{IDENT}[?!]?)\("):
         last = m[1].split(".")[-1]
-        if last in KEYWORDS | definers or (last, s.span(m.start(), m.start())[0]) in heads and "." not in m[1] and re.search(r"\bdef\w*[ \t]+$", s.code[max(0, m.start() - 14) : m.start()]):
+        if last in WORDS["elixir"] | definers or (last, s.span(m.start(), m.start())[0]) in heads and "." not in m[1] and re.search(r"\bdef\w*[ \t]+$", s.code[max(0, m.start() - 14) : m.start()]):
             continue
         f.add_call(m[1], m.end(1) - len(last), m.end(1))
 
