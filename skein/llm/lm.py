@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import save, shuffle_partitions
 
 MAX_BITS, BITS_PER_EVENT, PROBES = 1 << 30, 8, 4
-HOT_WORDS, TOP_WORDS = 1024, 1 << 20
+HOT_WORDS, TOP_WORDS = 1024, 1 << 19
 FINE = float(np.log(1.15))
 END = 0x5851F42D4C957F2D
 PART_TOKENS, SLICE_CHARS = 2_000_000, 4_000_000
@@ -290,8 +290,8 @@ def train(texts: DataFrame, max_bits: int = MAX_BITS) -> tuple[Model, DataFrame]
                 break
             low = r["low"]
         limits[name] = low
-    top = counts.where(F.col("c") >= limits["top"]).toPandas()
-    words, c = top["w"].to_numpy(dtype="int64").view("uint64"), top["c"].to_numpy(dtype="int64")
+    top = counts.where(F.col("c") >= limits["top"]).toArrow()
+    words, c = top["w"].to_numpy().astype("int64").view("uint64"), top["c"].to_numpy().astype("int64")
     hot = np.unique(short(words[c >= limits["hot"]]))
     parts = max(shuffle_partitions(spark), total // PART_TOKENS)
     dealt = texts.mapInArrow(_count_pairs(hot, parts), "part int, one binary, many binary, n binary").repartition(parts, "part").sortWithinPartitions("part")
