@@ -11,6 +11,7 @@ library's whole chain.
 
 from __future__ import annotations
 
+import gc
 import re
 
 _TWO_SPACES = re.compile(r"\s\s")
@@ -36,8 +37,8 @@ _BYTE_LETTERS = _byte_letters()
 class PieceEncoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers."""
 
-    #: Pieces kept in each of two generations, and the longest piece that is kept.
-    KEEP, LONGEST = 300_000, 64
+    #: Pieces and words kept in each of two generations, and the longest that is kept.
+    KEEP, LONGEST = 200_000, 64
 
     def __init__(self, path: str, spaces_count: bool):
         from tokenizers import Tokenizer
@@ -47,6 +48,7 @@ class PieceEncoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
         self.merge = self.tokenizer.model.tokenize
         self.ids = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
@@ -60,7 +62,7 @@ class PieceEncoder:
 
     def word(self, word: str) -> bytes:
         """Ids of one word of the vocabulary's pattern."""
-        v = self.words.get(word)
+        v = self.words.get(word) or self.old_words.get(word)
         if v is None:
             if word.isascii() and word[1:].isalpha():
                 letters = "\u0120" + word[1:] if word[0] == " " else word
@@ -68,10 +70,10 @@ class PieceEncoder:
                 letters = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
             ids = self.ids
             v = b"".join([ids[t.id] for t in self.merge(letters)])
-            if len(word) <= self.LONGEST:
-                if len(self.words) >= self.KEEP:
-                    self.words.clear()
-                self.words[word] = v
+        if len(word) <= self.LONGEST:
+            if len(self.words) >= self.KEEP:
+                self.old_words, self.words = self.words, {}
+            self.words[word] = v
         return v
 
     def learn(self, wanted: list[str]) -> dict[str, bytes]:
@@ -97,6 +99,14 @@ class PieceEncoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids; the cycle collector rests meanwhile, as nothing here makes cycles."""
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         split = [self.pieces(t) for t in texts]
         young, old = self.young, self.old
         unknown = set().union(*split).difference(young)
