@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, save, shuffle_partitions
+from .common import batches_of, drop, save, shuffle_partitions
 from .components import components
 
 REGISTERS, ROWS, BANDS = 128, 4, 32
@@ -45,7 +45,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _WordHashes(dict):
-    KEEP = 400_000
+    KEEP = 200_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -195,18 +195,20 @@ def _verify(num: int, den: int):
 
         lax = num / den - 6 * (num / den * (1 - num / den) / REGISTERS) ** 0.5
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ok = []
+            linked, miss = [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = x.as_buffer(), y.as_buffer()
                 s, t = np.frombuffer(x, dtype="<u8", offset=2 * REGISTERS), np.frombuffer(y, dtype="<u8", offset=2 * REGISTERS)
                 r, q = np.frombuffer(x, dtype="<u2", count=REGISTERS), np.frombuffer(y, dtype="<u2", count=REGISTERS)
-                good = likelihood_similarity(r, q, len(s), len(t)) >= lax
-                if good:
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    good = den * both >= num * (len(s) + len(t) - both)
-                ok.append(good)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, g in zip(a, ok, strict=True) if g], pa.int64()), pa.array([y for y, g in zip(b, ok, strict=True) if g], pa.int64())], names=["a", "b"])
+                if likelihood_similarity(r, q, len(s), len(t)) < lax / 2:
+                    linked.append(False)  # far beyond what the estimate can err
+                    miss.append(None)
+                    continue
+                lacks = np.setdiff1d(t, s, assume_unique=True)
+                both = len(t) - len(lacks)
+                linked.append(bool(den * both >= num * (len(s) + len(t) - both)))
+                miss.append(lacks.view("<i8") if 10 * len(lacks) <= 3 * len(t) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(miss, pa.list_(pa.int64()))], names=["rep", "lead", "linked", "miss"])
 
     return run
 
@@ -221,7 +223,8 @@ def _could(n_x: Column, u_x: Column, n_y: Column, u_y: Column, num: int, den: in
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """Per row of (doc_id, text): doc_id, n_shingles, component_id, kept. Sets link at similarity num / den."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tie"), F.col("text").cast("string").alias("text"))
-    sketches = save(keyed.mapInArrow(_sketch(k), "doc_id long, tie long, n long, s1 long, s2 long, bands array<long>"), "sketches")
+    with batches_of(keyed.sparkSession, 2000):
+        sketches = save(keyed.mapInArrow(_sketch(k), "doc_id long, tie long, n long, s1 long, s2 long, bands array<long>"), "sketches")
     known = sketches.where("n > 0 and doc_id is not null")
     # Equal sets are one: the smallest doc_id stands for them.
     reps = known.groupBy("s1", "s2", "n", "bands").agg(F.min(F.struct("doc_id", "tie")).alias("r"))
@@ -229,7 +232,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     bands = reps.select("rep", "tie", "n", F.posexplode("bands").alias("band", "key"))
     full = bands.groupBy("band", "key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("band", "key")
     members = save(bands.join(full, ["band", "key"], "left_semi"), "members")
-    links = _links(keyed, members, reps, k, num, den)
+    with batches_of(keyed.sparkSession, 500):
+        links = save(_links(keyed, members, reps, k, num, den), "all_links")
     labels = components(links)
     # rows -> set -> representative -> component
     same = reps.select("s1", "s2", "n", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("label", "rep").alias("label"))
@@ -251,35 +255,45 @@ def _links(keyed: DataFrame, members: DataFrame, reps: DataFrame, k: int, num: i
     stats = save(wanted.select("rep", "n").join(own, "rep", "left").select("rep", "n", F.coalesce("own", F.lit(0)).alias("own")), "stats")
     seats = save(members.select("band", "key", "rep").join(stats, "rep"), "seats")
     # 1. Every member with its bucket's leader, who has the smallest share of shingles of its own.
-    lead = seats.groupBy("band", "key").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "rep", "n", "own")).alias("lead"))
-    led = seats.join(lead, ["band", "key"]).where(F.col("rep") != F.col("lead.rep"))
-    led = led.where(_could(F.col("n"), F.col("own"), F.col("lead.n"), F.col("lead.own"), num, den))
-    pair = (F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b"))
-    tested = save(led.select(*pair).distinct(), "pairs")
-    links = save(_judge(tested, sets, num, den), "links")
+    lead = seats.groupBy("band", "key").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "rep", "n", "own")).alias("l"))
+    lead = save(lead.select("band", "key", F.col("l.rep").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.own").alias("lead_own")), "leads")
+    led = seats.join(lead, ["band", "key"]).where(F.col("rep") != F.col("lead"))
+    led = led.where(_could(F.col("n"), F.col("own"), F.col("lead_n"), F.col("lead_own"), num, den))
+    judged = save(_judge(save(led.select("rep", "lead").distinct(), "pairs"), sets, num, den), "judged")
+    tested = judged.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+    links = judged.where("linked").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
     labels = components(links)
-    # 2. Buckets that still hold several classes: the pairs that the bound leaves, each in the first band that both share.
+    # 2. Buckets that still hold several classes: the pairs that the bounds leave, each in the first band that both share.
     open_ = seats.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     several = open_.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("n").alias("least")).where("x <> y")
-    open_ = open_.join(several.select("band", "key", "least"), ["band", "key"])
+    open_ = open_.join(several.select("band", "key", "least"), ["band", "key"]).join(lead.select("band", "key", "lead", "lead_n"), ["band", "key"])
     # A partner of a set has at most this size, since it lacks the set's own shingles.
-    open_ = open_.withColumn("able", den * (F.col("n") - F.col("own")) >= num * (F.col("least") + F.col("own")))
-    open_ = save(open_.where("able").join(reps.select("rep", "bands"), "rep"), "open")
+    able = den * (F.col("n") - F.col("own")) >= num * (F.col("least") + F.col("own"))
+    open_ = open_.where(able & (F.col("rep") != F.col("lead"))).join(reps.select("rep", "bands"), "rep").join(judged.select("rep", "lead", "miss"), ["rep", "lead"], "left")
+    open_ = save(open_, "open")
     x, y = open_.alias("x"), open_.alias("y")
     earlier = F.zip_with(F.slice("x.bands", 1, F.col("x.band")), F.slice("y.bands", 1, F.col("y.band")), lambda p, q: p == q)
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & _could(F.col("x.n"), F.col("x.own"), F.col("y.n"), F.col("y.own"), num, den) & ~F.array_contains(earlier, True))  # noqa: E501  fmt: skip
-    rest = rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).join(tested, ["a", "b"], "left_anti")
-    more = save(_judge(save(rest.distinct(), "pairs"), sets, num, den), "links")
+    # Inside the leader's set the two share all but what either misses; outside it at most what isn't their own.
+    inside = F.col("x.lead_n") - F.size("x.miss") - F.size("y.miss") + F.size(F.array_intersect("x.miss", "y.miss"))
+    spare = lambda s: F.col(f"{s}.n") - (F.col(f"{s}.lead_n") - F.size(f"{s}.miss")) - F.col(f"{s}.own")
+    both = inside + F.least(spare("x"), spare("y"))
+    unknown = F.col("x.miss").isNull() | F.col("y.miss").isNull()
+    close = F.when(unknown, F.lit(True)).otherwise(den * both >= num * (F.col("x.n") + F.col("y.n") - both))
+    on = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label"))
+    on = on & _could(F.col("x.n"), F.col("x.own"), F.col("y.n"), F.col("y.own"), num, den) & ~F.array_contains(earlier, True) & close
+    rest = x.join(y, on).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).join(tested, ["a", "b"], "left_anti")
+    rest = save(rest.distinct().select(F.col("a").alias("rep"), F.col("b").alias("lead")), "pairs")
+    more = save(_judge(rest, sets, num, den).where("linked").select(F.col("rep").alias("a"), F.col("lead").alias("b")), "links")
     drop(seats, stats, open_)
     return links.unionByName(more)
 
 
 def _judge(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose full sets link."""
-    one = sets.select(F.col("rep").alias("a"), F.col("items").alias("items_a"))
-    two = sets.select(F.col("rep").alias("b"), F.col("items").alias("items_b"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "items_a", "items_b")
-    return both.mapInArrow(_verify(num, den), "a long, b long")
+    """pairs (rep, lead) with `linked`, by their full sets, and `miss`: the leader's shingles that the member lacks, where these are few."""
+    one = sets.select("rep", F.col("items").alias("items_a"))
+    two = sets.select(F.col("rep").alias("lead"), F.col("items").alias("items_b"))
+    both = pairs.join(one, "rep").join(two, "lead").select("rep", "lead", "items_a", "items_b")
+    return both.mapInArrow(_verify(num, den), "rep long, lead long, linked boolean, miss array<long>")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
