@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .fmindex import WORD
 from .lm import held_out
 
-MAX_DOCS, WINDOW, BLOCK, SLICE_CHARS = 4000, 8, 64, 5_000_000
+MAX_DOCS, WINDOW, BLOCK, SLICE_CHARS = 4000, 8, 64, 1_500_000
 MIN_DOCS, MIN_Z, MIN_ODDS, PRIOR = 5, 3.0, 3.0, 0.5
 THRESHOLD = 0.3
 
