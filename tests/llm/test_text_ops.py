@@ -203,9 +203,9 @@ def test_op3_marginals_are_exact():
 def test_op3_edges(spark, empty):
     texts = [f"good words here {i} fine text" for i in range(60)] + [f"good {i} words zork here fine text zork" for i in range(20)]
     tagger = toxicity.fit(texts, [0] * 60 + [1] * 20)
-    docs = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "good Zork, here fine text", 0), (4, "fine text", 0)], "doc_id long, text string, score2 int")
+    docs = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "good Zork, here fine text zork", 0), (4, "fine text", 0)], "doc_id long, text string, score2 int")
     got = {r.doc_id: r for r in toxicity.score(docs, tagger).collect()}
-    assert got[3].score > 0.5 > got[4].score and got[3].spans == [[5, 9]] and got[1].score == got[2].score
+    assert got[3].score > 0.5 > got[4].score and got[3].spans == [[5, 9], [26, 30]] and got[1].score == got[2].score
     assert {r.score for r in toxicity.score(docs, None).collect()} == {0.0}
     assert toxicity.score(empty, tagger).count() == 0 and toxicity.fit(["a"], [1]) is None
 
