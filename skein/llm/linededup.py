@@ -5,12 +5,13 @@ lines that occur more than once can be part of a repeated run, so all others end
 their run at once. Prefix doubling then names the blocks of 2, 4, 8 ... lines
 that start at each remaining line, from the names of the two halves; equal names
 are suffixes whose common prefix is that long, an interval of the suffix array.
-A run counts from `min_words` words on. The shortest such run at a place depends
-only on its lines, has at most `min_words` of them, and is named by two
-overlapping blocks, so doubling stops once it covers `min_words` lines: deeper
-intervals can't change what is deleted. All but the first place of an interval
-are later copies; overlapping ones join to the maximal repeated run, and its
-lines are deleted.
+A run counts from `min_words` words on. The shortest such runs from a line on and
+up to a line depend only on their lines, have at most `min_words` of them, and are
+named by two overlapping blocks, so doubling stops once it covers `min_words`
+lines: each line of a longer repeated run lies in one of the shortest runs within
+it, so deeper intervals can't change what is deleted. All but the first place of
+an interval are later copies; overlapping ones join to the maximal repeated run,
+and its lines are deleted.
 
 The first copy is the one with the smallest doc_id (nulls first), then the first
 row, then the first line. Null and empty texts have no lines and stay; repeated
@@ -51,12 +52,10 @@ def copies(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     by_doc = Window.partitionBy("rid").orderBy("at")
     again = again.withColumn("run", F.col("at") - F.row_number().over(by_doc))
     by_run = Window.partitionBy("rid", "run").orderBy("at")
-    # The shortest run from here that has min_words words, if the lines left reach so far.
     ahead = F.sum("words").over(by_run) - F.col("words")
     again = again.withColumn("before", ahead)
     reach = F.collect_list(F.col("before") + F.col("words")).over(by_run.rowsBetween(0, min_words - 1))
-    size = F.size(F.filter(reach, lambda x: x < F.col("before") + min_words)) + 1
-    again = again.withColumn("size", F.when(F.size(reach) >= size, size))
+    again = again.withColumn("reach", reach)
     # names[k]: the block of 2**k lines from here
     names, k = [("a1", "a2")], 0
     while 2 ** (k + 1) <= min_words:
@@ -66,16 +65,23 @@ def copies(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         names.append((f"b{k}_1", f"b{k}_2"))
         again = again.withColumns({names[-1][0]: b1, names[-1][1]: b2})
         k += 1
-    depth = F.floor(F.log2("size")).cast("int")
-    windows = again.where("size is not null") if min_words > 0 else again
-    # The block that starts where the second, overlapping half does: at offset size - 2**depth.
+    # Sizes of the runs from here: the shortest that has min_words words, if the lines left reach so far, and all that lack them without this line.
+    shortest = F.size(F.filter("reach", lambda x: x < F.col("before") + min_words)) + 1
+    without = F.size(F.filter("reach", lambda x: x < F.col("before") + F.col("words") + min_words))
+    again = again.withColumn("shortest", shortest).withColumn("without", without)
+    sizes = F.when(F.col("shortest") <= F.size("reach"), F.sequence("shortest", F.greatest("shortest", "without")))
     halves = F.array(*[F.struct(F.col(p).alias("x"), F.col(q).alias("y")) for p, q in names])
     held = again.withColumn("halves", halves).withColumn("ahead", F.collect_list("halves").over(by_run.rowsBetween(0, min_words - 1)))
-    windows = held.where("size is not null").withColumn("depth", depth)
-    shift = F.col("size") - F.pow(F.lit(2), F.col("depth")).cast("int")
-    first, second = F.col("halves")[F.col("depth")], F.element_at("ahead", shift + 1)[F.col("depth")]
-    w1, w2 = _name(F.col("size"), first["x"], first["y"], second["x"], second["y"])
-    windows = save(windows.select("rid", "doc", "line", "at", "size", w1.alias("w1"), w2.alias("w2")), "windows")
+
+    def named(size: Column) -> Column:
+        # The second, overlapping half is the block at offset size - 2**depth.
+        depth = F.floor(F.log2(size)).cast("int")
+        first, second = F.col("halves")[depth], F.col("ahead")[size - F.pow(F.lit(2), depth).cast("int")][depth]
+        w1, w2 = _name(size, first["x"], first["y"], second["x"], second["y"])
+        return F.struct(size.alias("size"), w1.alias("w1"), w2.alias("w2"))
+
+    windows = held.select("rid", "doc", "line", "at", F.explode(F.transform(sizes, named)).alias("z"))
+    windows = save(windows.select("rid", "doc", "line", "at", "z.size", "z.w1", "z.w2"), "windows")
     place = F.struct("doc", "rid", "at")
     firsts = windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = windows.join(firsts, ["w1", "w2"]).where(

@@ -319,6 +319,44 @@ def test_op7_edges(spark, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def lines_of_maximal_copies(rows, min_words):
+    """By brute force over runs of every length: per row, the lines of later copies of runs that have min_words words."""
+    seen, gone = {}, defaultdict(set)
+    times = Counter(x for _, t in rows for x in (t or "").split("\n"))
+    for k, (d, t) in sorted(enumerate(rows), key=lambda x: (x[1][0] is not None, x[1][0] or 0, x[0])):
+        lines = [(i, x) for i, x in enumerate((t or "").split("\n")) if x.encode().split()]
+        for at in range(len(lines)):
+            for end in range(at + 1, len(lines) + 1):
+                if times[lines[end - 1][1]] == 1:
+                    break
+                run = tuple(x for _, x in lines[at:end])
+                if sum(len(x.encode().split()) for x in run) >= min_words:
+                    first = seen.setdefault(run, (k, at))
+                    if first != (k, at) and not (first[0] == k and at < first[1] + len(run)):
+                        gone[k].update(i for i, _ in lines[at:end])
+    return gone
+
+
+def test_op7_deletes_whole_maximal_runs(spark, sf_dir, rows):
+    line = lambda i, n: " ".join(f"w{i}_{j}" for j in range(n))
+    tail, long = "\n".join([line(1, 30), line(2, 25), line(3, 10)]), f"{line(4, 60)}\n{line(5, 30)}"
+    data = [(1, f"a\n{tail}\nb"), (2, f"c\n{tail}\nd"), (3, long), (4, f"e\n{long}\n{line(6, 3)}"), (5, f"{line(6, 3)}\n{long}")]
+    gone = lines_of_maximal_copies(data, 50)
+    assert gone == {1: {1, 2, 3}, 3: {1, 2}, 4: {1, 2}}
+    draw = np.random.default_rng(7)
+    pool = [line(10 + i, n) for i, n in enumerate([1, 2, 5, 9, 14, 20, 26, 33, 49, 50, 70])]
+    passages = ["\n".join(pool[i] for i in draw.integers(0, len(pool), 12)) for _ in range(6)]
+    for d in range(6, 66):
+        cut = passages[draw.integers(0, 6)].split("\n")
+        a, b = sorted(draw.integers(0, 13, 2))
+        data.append((d, "\n".join([f"own {d}", *cut[a:b], "", pool[draw.integers(0, len(pool))], *cut[b:]])))
+    for docs, data in ((spark.createDataFrame(data, "doc_id long, text string").coalesce(1), data), (spark.read.parquet(f"{sf_dir}/documents.parquet"), rows)):
+        gone = lines_of_maximal_copies(data, 50)
+        want = [(d, "\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in gone[k]) if gone[k] else t, len(gone[k])) for k, (d, t) in enumerate(data)]
+        got = linededup.dedup_lines(docs).collect()
+        assert Counter((r.doc_id, r.text, r.n_removed) for r in got) == Counter(w for w in want if not w[2] or w[1].encode().split())
+
+
 # --- the pipeline
 
 
