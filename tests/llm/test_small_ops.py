@@ -229,3 +229,45 @@ def test_op10_keeps_groups_together(spark):
     hot = spark.createDataFrame([(i, "same" if i % 3 else f"own {i}") for i in range(600)], "doc_id long, text string")
     sizes = Counter(r.shard for r in sharding.shard(hot).collect())
     assert max(sizes.values()) - min(sizes.values()) <= 1
+
+
+def spread(spark, texts):
+    """Per text that occurs more than once, over how many shards it is spread."""
+    got = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    sizes, seen = Counter(r.shard for r in got), defaultdict(set)
+    assert len(got) == len(texts) and max(sizes.values()) - min(sizes.values()) <= 1
+    for r in got:
+        seen[texts[r.doc_id]].add(r.shard)
+    many = Counter(texts)
+    return {t: len(s) for t, s in seen.items() if many[t] > 1}
+
+
+def test_op10_groups_that_fit_stay_whole(spark):
+    own = [f"own {i}" for i in range(1600)]
+    tens = [f"ten {i % 10}" for i in range(800)]
+    assert set(spread(spark, tens + own[:800]).values()) == {1}  # groups of 80, quota 100
+    assert set(spread(spark, [f"twenty {i % 20}" for i in range(960)] + own[:640]).values()) == {1}  # two of 48 a shard
+    assert set(spread(spark, [f"pair {i % 800}" for i in range(1600)]).values()) == {1}
+    hot = spread(spark, ["hot"] * 550 + tens[:400] + own[:650])  # five whole shards and half of another; groups of 40
+    assert hot.pop("hot") == 6 and set(hot.values()) == {1}
+
+
+def test_op10_admits_every_document_once():
+    draw = np.random.default_rng(3)
+    for _ in range(50):
+        classes = [(int(n), int(label), int(draw.integers(1, 9))) for n in draw.integers(2, 90, 6) for label in draw.permutation(16)[:3]]
+        classes = list({c[:2]: c for c in classes}.values())
+        quotas = sharding._quotas(sum(n * c for n, _, c in classes) + int(draw.integers(0, 40)), 16)
+        whole, split = sharding.admit(classes, quotas)
+        load, seen = Counter(), Counter()
+        for n, label, low, high, s in whole:
+            load[s] += n * (high - low)
+            seen.update((n, label, k) for k in range(low, high))
+        for key, parts in split.items():
+            assert sum(m for m, _ in parts) == key[0]
+            load.update({s: 0 for _, s in parts})
+            for m, s in parts:
+                load[s] += m
+            seen[key] += 1
+        assert seen == Counter((n, label, k) for n, label, c in classes for k in range(c))
+        assert all(load[s] <= quotas[s] for s in range(16)) and len(split) <= 16
