@@ -5,9 +5,10 @@ key, one blob per part, and each part adds them up. A part then writes its own
 segment of a log-frequency Bloom filter: an n-gram of count c is entered with
 the levels 1 .. 1 + log2(c), so its quantised count is read back by probing level
 after level until one is missing. Words' counts and back-off weights are entered
-in finer levels. The segments are broadcast; MAX_BITS bounds them at any corpus
-size, because a part whose events don't fit its share raises the count from
-which bigrams are entered, and the mass of the others goes to the back-off.
+in finer levels. Every bigram is entered at any corpus size, so the segments, which
+are broadcast, grow with the events: BITS_PER_EVENT for each. Only a caller that
+gives a bound makes parts raise the count from which bigrams are entered, and then
+the mass of the others goes to the back-off.
 
 A bigram's probability is (c - D) / c(v) for the entered ones plus the back-off
 weight of v times the word's add-one probability: absolute discounting, with
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import save, shuffle_partitions
 
-MAX_BITS, BITS_PER_EVENT, PROBES = 1 << 30, 8, 4
+BITS_PER_EVENT, PROBES = 8, 4
 HOT_WORDS, TOP_WORDS = 1024, 1 << 19
 FINE = float(np.log(1.15))
 END = 0x5851F42D4C957F2D
@@ -96,7 +97,7 @@ def _places(keys: np.ndarray, kind: int, level: np.ndarray | int, size: np.ndarr
 BIGRAM, COUNT, BACK_OFF = 0, 1, 2
 
 
-def build_segment(keys: np.ndarray, counts: np.ndarray, hot: np.ndarray, max_bits: int) -> tuple[bytes, int, float, int, tuple]:
+def build_segment(keys: np.ndarray, counts: np.ndarray, hot: np.ndarray, max_bits: int | None = None) -> tuple[bytes, int, float, int, tuple]:
     """(bits, how many, discount, smallest entered count, hot contexts' sums) of one part; keys are sorted and distinct."""
     n1, n2 = int((counts == 1).sum()), int((counts == 2).sum())
     discount = min(0.98, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.1
@@ -105,7 +106,7 @@ def build_segment(keys: np.ndarray, counts: np.ndarray, hot: np.ndarray, max_bit
     heads = np.concatenate([[0], np.nonzero(context[1:] != context[:-1])[0] + 1])
     words, total = context[heads], np.add.reduceat(counts, heads)
     least = 1
-    while least < 1 << 40 and BITS_PER_EVENT * (int(level[counts >= least].sum()) + 8 * len(words)) > max_bits and (counts >= least).any():
+    while max_bits is not None and least < 1 << 40 and BITS_PER_EVENT * (int(level[counts >= least].sum()) + 8 * len(words)) > max_bits and (counts >= least).any():
         least += 1 if least < 4 else least // 4
     entered = counts >= least
     mass = np.add.reduceat(np.where(entered, counts - discount, 0.0), heads)
@@ -115,7 +116,7 @@ def build_segment(keys: np.ndarray, counts: np.ndarray, hot: np.ndarray, max_bit
     fine, away = fine_levels(total[cold]), np.round(-np.log(back[cold]) / FINE).astype(np.int64)
     events = int(level[entered].sum() + fine.sum() + away.sum())
     size = max(64, -(-BITS_PER_EVENT * events // 64) * 64)
-    if size > max_bits and max_bits >= 64:
+    if max_bits is not None and size > max_bits >= 64:
         size = max_bits // 64 * 64
     bits = np.zeros(size, dtype=bool)
     for kind, k, lv in ((BIGRAM, keys[entered], level[entered]), (COUNT, words[cold], fine), (BACK_OFF, words[cold], away)):
@@ -241,7 +242,7 @@ def _count_pairs(hot: np.ndarray, parts: int):
     return run
 
 
-def _add_up(hot: np.ndarray, max_bits: int):
+def _add_up(hot: np.ndarray, max_bits: int | None = None):
     def run(batches):
         import pyarrow as pa
 
@@ -273,7 +274,7 @@ def _add_up(hot: np.ndarray, max_bits: int):
     return run
 
 
-def train(texts: DataFrame, max_bits: int = MAX_BITS) -> tuple[Model, DataFrame]:
+def train(texts: DataFrame, max_bits: int | None = None) -> tuple[Model, DataFrame]:
     """texts: (text). Gives the model and the exact word counts (w, c)."""
     spark = texts.sparkSession
     counts = save(texts.mapInArrow(_count_words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "words")
@@ -296,7 +297,7 @@ def train(texts: DataFrame, max_bits: int = MAX_BITS) -> tuple[Model, DataFrame]
     parts = max(shuffle_partitions(spark), total // PART_TOKENS)
     dealt = texts.mapInArrow(_count_pairs(hot, parts), "part int, one binary, many binary, n binary").repartition(parts, "part").sortWithinPartitions("part")
     schema = "part int, bits binary, size long, discount double, least long, hot array<long>, total array<double>, mass array<double>"
-    built = save(dealt.mapInArrow(_add_up(hot, max_bits // parts), schema), "segments")
+    built = save(dealt.mapInArrow(_add_up(hot, None if max_bits is None else max_bits // parts), schema), "segments")
     segments = [tuple(r) for r in built.select("part", "bits", "size", "discount", "least").toLocalIterator()]
     one = F.explode(F.arrays_zip("hot", "total", "mass")).alias("z")
     sums = built.select(one).groupBy(F.col("z.hot").alias("h")).agg(F.sum("z.total").alias("t"), F.sum("z.mass").alias("m")).collect()

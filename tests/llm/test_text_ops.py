@@ -155,6 +155,18 @@ def test_op2_filter_reads_counts_back():
     assert least > 1 and size <= 40_000 and len(bits) * 8 <= 40_064
 
 
+def test_op2_enters_every_bigram_at_any_size(spark, monkeypatch):
+    bounds, add_up = [], lm._add_up
+    monkeypatch.setattr(lm, "_add_up", lambda hot, bound=None: bounds.append(bound) or add_up(hot, bound))
+    monkeypatch.setattr(lm, "shuffle_partitions", lambda _: 64)
+    model, _ = lm.train(spark.createDataFrame([("a b a c",), ("b a",)], "text string"))
+    assert model.parts == 64 and (model.least == 1).all()
+    # a part's events, more than 2^30 bits hold for 64 parts
+    none, keys = np.zeros(0, dtype=np.uint64), (np.arange(2_200_000, dtype=np.uint64) // np.uint64(1000) << np.uint64(32)) + np.arange(2_200_000, dtype=np.uint64) % np.uint64(1000)
+    _, size, _, least, _ = lm.build_segment(keys, np.ones(len(keys), dtype=np.int64), none, bounds[0])
+    assert least == 1 and size >= lm.BITS_PER_EVENT * len(keys)
+
+
 def test_op2_probabilities_sum_to_one(spark):
     docs = spark.createDataFrame([("a b a b a c",), ("a b c",), ("b a",)], "text string")
     model, _ = lm.train(docs)
