@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,11 +14,14 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset and the master is local."""
     global _own_dir
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="skein-")
     return _own_dir
@@ -33,6 +37,17 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def save_parts(parts: Iterable[DataFrame], name: str) -> DataFrame:
+    """Like save() of tables of one schema, written one after the other into one folder."""
+    path = None
+    for df in parts:
+        path = path or f"{shared_dir(df.sparkSession)}/skein/{name}-{uuid.uuid4().hex}"
+        df.write.mode("append").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._skein_path = path
+    return out
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by save() that nothing reads any more."""
     for df in tables:
@@ -42,15 +57,18 @@ def drop(*tables: DataFrame) -> None:
 
 
 @contextmanager
-def batches_of(spark: SparkSession, rows: int):
-    """Arrow batches of at most so many rows while eager work runs inside: rows that carry whole sets are large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+def batches_of(spark: SparkSession, rows: int, mb: int = 16):
+    """Arrow batches of at most so many rows and about so many bytes while eager work runs inside: rows that carry whole sets are large."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": mb << 20}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, most in wanted.items():
+        now = int(before[key].removesuffix("b"))
+        spark.conf.set(key, str(min(most, now) if now > 0 else most))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
