@@ -7,17 +7,21 @@ equal with a probability near the similarity. Bands of four registers give
 candidate buckets: two sets of similarity 0.85 miss each other in all 32 bands
 with a probability of 6e-11 (0.8: 5e-8).
 
-Equal sets count as one, so copies cost nothing. Buckets are never expanded into
-pairs: each first offers its members a leader, the member with the fewest
-shingles of its own. Pairs are judged by the joint likelihood of their registers
-and then on their full sets. Where a bucket still holds several classes, a
-bound that needs no pair (shingles that no other candidate has, and set sizes)
-proves most members unlinkable, and exactly the pairs that it leaves are
-verified too. So no link is lost and no cap is needed.
-
-Null and empty texts have an empty set and link with nothing; rows with a null
-doc_id get a null component and are kept; rows that repeat a doc_id share its
-component, and of rows with the same doc_id all are kept or none.
+Equal sets are one row with a number of its own, so copies cost nothing. Each
+bucket first offers its members a leader, the member that shares most buckets
+with others. Pairs are judged by the joint likelihood of their registers and
+then on their full sets. Where a bucket still holds several classes, a bound
+that needs no pair (shingles that no other set of such buckets has, and set
+sizes) proves most members unlinkable; the others meet in blocks of at most
+BLOCK members, and exactly the pairs that the bounds leave are verified too. So
+no link is lost and no cap is needed.
+
+Null and empty texts have an empty set and link with nothing, also where another
+row has the same doc_id; rows with a null doc_id get a null component and are
+kept; rows that repeat a doc_id with different texts share a component, whichever
+of the texts has the link, and of rows with the same doc_id that have words all
+are kept or none. Very long texts are sets like others. Columns other than doc_id
+and text are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ REGISTERS, ROWS, BANDS = 128, 4, 32
 BASE, TOP = 1.001, (1 << 16) - 1
 #: Candidate keys up to which they are broadcast to fetch their texts (16 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
+#: Members of a bucket that meet in one task, shingles counted in one part, and sets whose counts are added up in one.
+BLOCK, PART_SHINGLES, BLOCK_SETS = 4096, 500_000, 200_000
 _U = np.uint64
 _MULTIPLIERS = (np.random.Generator(np.random.Philox(20240)).integers(0, 1 << 63, REGISTERS, dtype=np.uint64) << _U(1)) | _U(1)
 
@@ -134,59 +140,89 @@ def _sets(k: int):
                 for text in part.column(1).to_pylist():
                     s = shingles(text, k)
                     blobs.append(registers(s).tobytes() + s.tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], names=["rep", "items"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], names=["set", "items"])
 
     return run
 
 
+def _packed(to: np.ndarray, n: int, *columns: np.ndarray) -> list[tuple]:
+    """Rows (part, bytes of each column's share) of the parts that get something."""
+    order = np.argsort(to, kind="stable")
+    cuts = np.searchsorted(to[order], np.arange(n + 1))
+    return [(p, *(c[order[a:b]].tobytes() for c in columns)) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+
+
+def _rows(rows: list[tuple], names: list[str]):
+    import pyarrow as pa
+
+    cols = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]], names=names)
+
+
 def _spread(parts: int):
     """Deals shingles with their owners over parts, packed: a few rows per task, whatever the number of shingles."""
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                reps = np.array(part.column(0).to_pylist(), dtype="<i8")
-                sets = [np.frombuffer(b, dtype="<u8", offset=2 * REGISTERS) for b in part.column(1).to_pylist()]
-                if not sets:
-                    continue
-                items, owner = np.concatenate(sets), np.repeat(reps, [len(s) for s in sets])
-                to = (items >> _U(40)) % _U(parts)
-                order = np.argsort(to, kind="stable")
-                cuts = np.searchsorted(to[order], np.arange(parts + 1))
-                rows = [(p, items[order[a:b]].tobytes(), owner[order[a:b]].tobytes()) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["part", "items", "owners"])
+            sets = [np.frombuffer(b, dtype="<u8", offset=2 * REGISTERS) for b in batch.column(1).to_pylist()]
+            if sets:
+                items, owner = np.concatenate(sets), np.repeat(np.array(batch.column(0).to_pylist(), dtype="<i8"), [len(s) for s in sets])
+                yield _rows(_packed((items >> _U(40)) % _U(parts), parts, items, owner), ["part", "items", "owners"])
+
+    return run
+
+
+def _gathered(batches):
+    """(part, its two columns whole) of rows that are sorted by part."""
+    part, one, two = None, [], []
+    for batch in batches:
+        for p, a, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if p != part and one:
+                yield part, np.frombuffer(b"".join(one), dtype="<u8"), np.frombuffer(b"".join(two), dtype="<i8")
+                one, two = [], []
+            part = p
+            one.append(a)
+            two.append(b)
+    if one:
+        yield part, np.frombuffer(b"".join(one), dtype="<u8"), np.frombuffer(b"".join(two), dtype="<i8")
+
+
+def _lonely(blocks: int):
+    """How many shingles of each owner no other owner has, by part: packed into a row for each block of owners."""
+
+    def run(batches):
+        for _, items, owners in _gathered(batches):
+            order = np.argsort(items, kind="stable")
+            s = items[order]
+            differs = s[1:] != s[:-1]
+            alone = order[np.concatenate([[True], differs]) & np.concatenate([differs, [True]])]
+            sets, counts = np.unique(owners[alone], return_counts=True)
+            if len(sets):
+                yield _rows(_packed(_mix(sets.view("<u8")) % _U(blocks), blocks, sets, counts.astype("<i8")), ["block", "sets", "counts"])
 
     return run
 
 
-def _lonely(batches):
-    """How many shingles of each owner no other owner has, among the parts of this task."""
+def _sums(batches):
+    """Adds up a block's counts as they come."""
     import pyarrow as pa
 
-    items, owners, part = [], [], None
+    block, sets, counts = None, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
-    def flush():
-        all_items, all_owners = np.concatenate(items), np.concatenate(owners)
-        order = np.argsort(all_items, kind="stable")
-        s = all_items[order]
-        alone = np.concatenate([[True], s[1:] != s[:-1]]) & np.concatenate([s[1:] != s[:-1], [True]])
-        reps, counts = np.unique(all_owners[order[alone]], return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(counts, pa.int64())], names=["rep", "own"])
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array(counts, pa.int64())], names=["set", "own"])
 
     for batch in batches:
-        for p, a, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if p != part and items:
-                yield flush()
-                items, owners = [], []
-            part = p
-            items.append(np.frombuffer(a, dtype="<u8"))
-            owners.append(np.frombuffer(b, dtype="<i8"))
-    if items:
-        yield flush()
+        for b, a, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if b != block:
+                if len(sets):
+                    yield out()
+                block, sets, counts = b, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+            both = np.concatenate([sets, np.frombuffer(a, dtype="<i8")])
+            sets, at = np.unique(both, return_inverse=True)
+            counts = np.bincount(at, weights=np.concatenate([counts, np.frombuffer(n, dtype="<i8")])).astype(np.int64)
+    if len(sets):
+        yield out()
 
 
 def _verify(num: int, den: int):
@@ -208,7 +244,7 @@ def _verify(num: int, den: int):
                 both = len(t) - len(lacks)
                 linked.append(bool(den * both >= num * (len(s) + len(t) - both)))
                 miss.append(lacks.view("<i8") if 10 * len(lacks) <= 3 * len(t) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(miss, pa.list_(pa.int64()))], names=["rep", "lead", "linked", "miss"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(miss, pa.list_(pa.int64()))], names=["set", "lead", "linked", "miss"])
 
     return run
 
@@ -225,53 +261,77 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tie"), F.col("text").cast("string").alias("text"))
     with batches_of(keyed.sparkSession, 2000):
         sketches = save(keyed.mapInArrow(_sketch(k), "doc_id long, tie long, n long, s1 long, s2 long, bands array<long>"), "sketches")
-    known = sketches.where("n > 0 and doc_id is not null")
-    # Equal sets are one: the smallest doc_id stands for them.
-    reps = known.groupBy("s1", "s2", "n", "bands").agg(F.min(F.struct("doc_id", "tie")).alias("r"))
-    reps = save(reps.select(F.col("r.doc_id").alias("rep"), F.col("r.tie").alias("tie"), "n", "s1", "s2", "bands"), "reps")
-    bands = reps.select("rep", "tie", "n", F.posexplode("bands").alias("band", "key"))
-    full = bands.groupBy("band", "key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("band", "key")
-    members = save(bands.join(full, ["band", "key"], "left_semi"), "members")
+    # Equal sets are one: a text of the smallest doc_id stands for them.
+    sets = sketches.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n", "bands").agg(F.min(F.struct("doc_id", "tie")).alias("r"))
+    sets = save(sets.select(F.monotonically_increasing_id().alias("set"), F.col("r.doc_id").alias("low"), F.col("r.tie").alias("tie"), "n", "s1", "s2", "bands"), "distinct_sets")
+    rows = save(sketches.select("doc_id", "n", "s1", "s2").join(sets.select("s1", "s2", "n", "set", "low"), ["s1", "s2", "n"], "left").select("doc_id", "n", "set", "low"), "rows")
+    # Different texts of one doc_id belong together.
+    several = rows.where("doc_id is not null and set is not null").groupBy("doc_id").agg(F.min("set").alias("a"), F.max("set").alias("z")).where("a <> z").select("doc_id", "a")
+    same_id = rows.join(several, "doc_id").where("set <> a").select("a", F.col("set").alias("b")).distinct()
     with batches_of(keyed.sparkSession, 500):
-        links = save(_links(keyed, members, reps, k, num, den), "all_links")
+        links = save(_links(keyed, sets, k, num, den).unionByName(same_id), "all_links")
     labels = components(links)
-    # rows -> set -> representative -> component
-    same = reps.select("s1", "s2", "n", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("label", "rep").alias("label"))
-    rows = sketches.select("doc_id", "n", "s1", "s2").join(same, ["s1", "s2", "n"], "left")
-    found = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("label")).alias("component_id"))
+    found = labels.join(sets.select(F.col("set").alias("node"), "low"), "node")
+    least = found.groupBy("label").agg(F.min("low").alias("component"))
+    of_set = found.join(least, "label").select(F.col("node").alias("set"), "component")
+    rows = rows.join(of_set, "set", "left")
+    component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "low"))
+    found = rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _links(keyed: DataFrame, members: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    wanted = save(members.select("rep", "tie", "n").distinct(), "wanted")
-    count, total = wanted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    side = wanted.select(F.col("rep").alias("doc_id"), "tie")
-    side = F.broadcast(side) if count <= BROADCAST_ROWS else side
-    texts = keyed.join(side, ["doc_id", "tie"]).select("doc_id", "text").dropDuplicates(["doc_id"])
-    sets = save(texts.mapInArrow(_sets(k), "rep long, items binary"), "sets")
-    parts = max(shuffle_partitions(keyed.sparkSession), int(total) // 4_000_000)
-    dealt = sets.mapInArrow(_spread(parts), "part int, items binary, owners binary").repartition(parts, "part").sortWithinPartitions("part")
-    own = dealt.mapInArrow(_lonely, "rep long, own long").groupBy("rep").agg(F.sum("own").alias("own"))
-    stats = save(wanted.select("rep", "n").join(own, "rep", "left").select("rep", "n", F.coalesce("own", F.lit(0)).alias("own")), "stats")
-    seats = save(members.select("band", "key", "rep").join(stats, "rep"), "seats")
-    # 1. Every member with its bucket's leader, who has the smallest share of shingles of its own.
-    lead = seats.groupBy("band", "key").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "rep", "n", "own")).alias("l"))
-    lead = save(lead.select("band", "key", F.col("l.rep").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.own").alias("lead_own")), "leads")
-    led = seats.join(lead, ["band", "key"]).where(F.col("rep") != F.col("lead"))
-    led = led.where(_could(F.col("n"), F.col("own"), F.col("lead_n"), F.col("lead_own"), num, den))
-    judged = save(_judge(save(led.select("rep", "lead").distinct(), "pairs"), sets, num, den), "judged")
-    tested = judged.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-    links = judged.where("linked").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+def _links(keyed: DataFrame, known: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, b): numbers of sets that reach the similarity; enough of these pairs to connect every class."""
+    bands = known.select("set", "n", F.posexplode("bands").alias("band", "key"))
+    full = bands.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1")
+    members = save(bands.join(full, ["band", "key"]), "members")
+    shared = save(members.groupBy("set", "n").agg(F.sum("m").alias("meets")), "shared")
+    wanted = known.join(shared.select("set"), "set", "left_semi").select(F.col("low").alias("doc_id"), "tie", "set")
+    wanted = F.broadcast(wanted) if shared.count() <= BROADCAST_ROWS else wanted
+    texts = keyed.join(wanted, ["doc_id", "tie"]).select("set", "text").dropDuplicates(["set"])
+    sets = save(texts.mapInArrow(_sets(k), "set long, items binary"), "sets")
+    # 1. Every member with its bucket's leader.
+    lead = members.join(shared.select("set", "meets"), "set").groupBy("band", "key").agg(F.max(F.struct("meets", "set", "n")).alias("l"))
+    lead = save(lead.select("band", "key", F.col("l.set").alias("lead"), F.col("l.n").alias("lead_n")), "leads")
+    zero = F.lit(0)
+    led = members.join(lead, ["band", "key"]).where(F.col("set") != F.col("lead")).where(_could(F.col("n"), zero, F.col("lead_n"), zero, num, den))
+    judged = save(_judge(save(led.select("set", "lead").distinct(), "pairs"), sets, num, den), "judged")
+    tested = judged.select(F.least("set", "lead").alias("a"), F.greatest("set", "lead").alias("b")).distinct()
+    links = judged.where("linked").select(F.least("set", "lead").alias("a"), F.greatest("set", "lead").alias("b")).distinct()
     labels = components(links)
     # 2. Buckets that still hold several classes: the pairs that the bounds leave, each in the first band that both share.
-    open_ = seats.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    several = open_.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("n").alias("least")).where("x <> y")
-    open_ = open_.join(several.select("band", "key", "least"), ["band", "key"]).join(lead.select("band", "key", "lead", "lead_n"), ["band", "key"])
+    labelled = members.join(labels.withColumnRenamed("node", "set"), "set", "left").select("set", "n", "band", "key", F.coalesce("label", "set").alias("label"))
+    several = labelled.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("n").alias("least")).where("x <> y")
+    open_ = save(labelled.join(several.select("band", "key", "least"), ["band", "key"]).join(lead, ["band", "key"]), "open")
+    # counted with the leaders, so that none of a set's own shingles is its leader's
+    own = _own(open_.select("set").distinct(), sets, known.join(open_.select("set"), "set", "left_semi"))
     # A partner of a set has at most this size, since it lacks the set's own shingles.
     able = den * (F.col("n") - F.col("own")) >= num * (F.col("least") + F.col("own"))
-    open_ = open_.where(able & (F.col("rep") != F.col("lead"))).join(reps.select("rep", "bands"), "rep").join(judged.select("rep", "lead", "miss"), ["rep", "lead"], "left")
-    open_ = save(open_, "open")
-    x, y = open_.alias("x"), open_.alias("y")
+    left = open_.where(F.col("set") != F.col("lead")).join(own, "set", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(able)
+    left = save(left.join(known.select("set", "bands"), "set").join(judged.select("set", "lead", "miss"), ["set", "lead"], "left"), "left")
+    more = save(_judge(_rest(left, tested, num, den), sets, num, den).where("linked").select(F.col("set").alias("a"), F.col("lead").alias("b")), "links")
+    drop(open_, left)
+    return links.unionByName(more)
+
+
+def _own(some: DataFrame, sets: DataFrame, known: DataFrame) -> DataFrame:
+    """(set, own): how many of a set's shingles no other of these sets has."""
+    spark = sets.sparkSession
+    count, total = known.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    parts = max(shuffle_partitions(spark), int(total) // PART_SHINGLES)
+    blocks = 1 + int(count) // BLOCK_SETS
+    dealt = sets.join(some, "set", "left_semi").mapInArrow(_spread(parts), "part int, items binary, owners binary").repartition(parts, "part").sortWithinPartitions("part")
+    counts = dealt.mapInArrow(_lonely(blocks), "block int, sets binary, counts binary").repartition(blocks, "block").sortWithinPartitions("block")
+    return save(counts.mapInArrow(_sums, "set long, own long"), "own")
+
+
+def _rest(left: DataFrame, tested: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (set, lead) of different classes in a bucket that the bounds can't rule out and that weren't tested yet."""
+    sizes = left.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1").select("band", "key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    left = left.join(sizes, ["band", "key"])
+    # A large bucket is cut into blocks: a member goes to one of them as x and to each as y.
+    x = left.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")).alias("x")
+    y = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
     earlier = F.zip_with(F.slice("x.bands", 1, F.col("x.band")), F.slice("y.bands", 1, F.col("y.band")), lambda p, q: p == q)
     # Inside the leader's set the two share all but what either misses; outside it at most what isn't their own.
     inside = F.col("x.lead_n") - F.size("x.miss") - F.size("y.miss") + F.size(F.array_intersect("x.miss", "y.miss"))
@@ -279,24 +339,21 @@ def _links(keyed: DataFrame, members: DataFrame, reps: DataFrame, k: int, num: i
     both = inside + F.least(spare("x"), spare("y"))
     unknown = F.col("x.miss").isNull() | F.col("y.miss").isNull()
     close = F.when(unknown, F.lit(True)).otherwise(den * both >= num * (F.col("x.n") + F.col("y.n") - both))
-    on = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label"))
-    on = on & _could(F.col("x.n"), F.col("x.own"), F.col("y.n"), F.col("y.own"), num, den) & ~F.array_contains(earlier, True) & close
-    rest = x.join(y, on).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).join(tested, ["a", "b"], "left_anti")
-    rest = save(rest.distinct().select(F.col("a").alias("rep"), F.col("b").alias("lead")), "pairs")
-    more = save(_judge(rest, sets, num, den).where("linked").select(F.col("rep").alias("a"), F.col("lead").alias("b")), "links")
-    drop(seats, stats, open_)
-    return links.unionByName(more)
+    on = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.set") < F.col("y.set"))
+    on = on & (F.col("x.label") != F.col("y.label")) & _could(F.col("x.n"), F.col("x.own"), F.col("y.n"), F.col("y.own"), num, den) & ~F.array_contains(earlier, True) & close
+    rest = x.join(y, on).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).join(tested, ["a", "b"], "left_anti")
+    return save(rest.distinct().select(F.col("a").alias("set"), F.col("b").alias("lead")), "pairs")
 
 
 def _judge(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """pairs (rep, lead) with `linked`, by their full sets, and `miss`: the leader's shingles that the member lacks, where these are few."""
-    one = sets.select("rep", F.col("items").alias("items_a"))
-    two = sets.select(F.col("rep").alias("lead"), F.col("items").alias("items_b"))
-    both = pairs.join(one, "rep").join(two, "lead").select("rep", "lead", "items_a", "items_b")
-    return both.mapInArrow(_verify(num, den), "rep long, lead long, linked boolean, miss array<long>")
+    """pairs (set, lead) with `linked`, by their full sets, and `miss`: the leader's shingles that the member lacks, where these are few."""
+    one = sets.select("set", F.col("items").alias("items_a"))
+    two = sets.select(F.col("set").alias("lead"), F.col("items").alias("items_b"))
+    both = pairs.join(one, "set").join(two, "lead").select("set", "lead", "items_a", "items_b")
+    return both.mapInArrow(_verify(num, den), "set long, lead long, linked boolean, miss array<long>")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The rows of the table that stand for their class."""
-    kept = near_duplicates(docs, k, num, den).where("not kept").select(F.col("doc_id")).distinct()
-    return docs.join(kept, "doc_id", "left_anti")
+    gone = near_duplicates(docs, k, num, den).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, (F.col("doc_id").cast("long") == F.col("_gone")) & F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), "left_anti")
