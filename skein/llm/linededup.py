@@ -16,7 +16,9 @@ and its lines are deleted.
 The first copy is the one with the smallest doc_id (nulls first), then the first
 row, then the first line. Null and empty texts have no lines and stay; repeated
 rows are copies; a document of which no line with a word is left is dropped; an
-empty table gives an empty result. Lines stay as they are, spaces included.
+empty table gives an empty result. Lines stay as they are, spaces included. Very
+long texts are so many lines more: no step but the last holds a text's lines
+together. Columns can have any names.
 """
 
 from __future__ import annotations
@@ -24,9 +26,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import range_bounds, save, save_parts
 
 MIN_WORDS = 50
+#: Deleted lines in one broadcast (4 bytes each), and what a row counts besides its lines.
+BLOCK_LINES, ROW_LINES = 8_000_000, 16
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -92,18 +96,35 @@ def copies(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return gone.join(again.select("rid", "at", "line"), ["rid", "at"]).select("rid", "line")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The table without later copies of repeated line runs; adds n_removed (lines) and removed_runs (first and last line of each)."""
-    # the row travels whole, so that its columns can have any names
-    rows = save(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "numbered")
-    gone = copies(rows.select("rid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").cast("string").alias("text")), min_words)
-    gone = save(gone.groupBy("rid").agg(F.array_sort(F.collect_set("line")).alias("gone")), "gone")
+def _cut(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows (rid, row) without the lines of gone (rid, gone), and n_removed and removed_runs; gone is broadcast."""
+    out = rows.join(F.broadcast(gone), "rid", "left")
     kept = F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i))
-    out = rows.join(gone, "rid", "left")
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
     starts = F.filter("gone", lambda x: ~F.array_contains(F.col("gone"), x - 1))
     ends = F.filter("gone", lambda x: ~F.array_contains(F.col("gone"), x + 1))
     runs = F.coalesce(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("first"), b.alias("last"))), F.array().cast("array<struct<first:int,last:int>>"))
-    removed = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
-    out = out.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns], removed.alias("n_removed"), runs.alias("removed_runs"))
+    out = out.select("row", text.alias("text"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), runs.alias("removed_runs"))
     return out.where((F.col("n_removed") == 0) | F.col("text").rlike(_WORD))
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = True) -> DataFrame:
+    """The table without later copies of repeated line runs.
+
+    report: with n_removed (lines) and removed_runs (first and last line of each), in place of columns that have these names.
+    """
+    # the row travels whole, so that its columns can have any names
+    rows = save(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "numbered")
+    gone = copies(rows.select("rid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").cast("string").alias("text")), min_words)
+    gone = save(gone.groupBy("rid").agg(F.array_sort(F.collect_set("line")).alias("gone")), "gone")
+    # No text is shuffled: the deleted lines come to the rows, in ranges of rid if they are too many for one broadcast.
+    size = gone.agg(F.coalesce(F.sum(F.size("gone") + ROW_LINES), F.lit(0))).first()[0]
+    if size <= BLOCK_LINES:
+        out = _cut(rows, gone)
+    else:
+        bounds = [None, *range_bounds(gone, "rid", -(-size // BLOCK_LINES)), None]
+        within = lambda a, b: F.expr(" and ".join(x for x in (f"rid >= {a}" if a is not None else "", f"rid < {b}" if b is not None else "", "true") if x))
+        out = save_parts((_cut(rows.where(within(a, b)), gone.where(within(a, b))) for a, b in zip(bounds, bounds[1:], strict=False)), "cut")
+    added = ["n_removed", "removed_runs"] if report else []
+    own = [F.col("text").cast(docs.schema["text"].dataType) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in added]
+    return out.select(*[x.alias(c) for x, c in zip(own, [c for c in docs.columns if c not in added], strict=True)], *added)
