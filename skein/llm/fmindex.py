@@ -24,8 +24,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, text_slices
+
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-WIDTH, SHARD_CHARS, SAMPLE, BLOCK_BYTES = 10, 8_000_000, 8, 32_000_000
+WIDTH, SHARD_BYTES, SAMPLE, BLOCK_BYTES = 10, 8_000_000, 8, 32_000_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -198,16 +200,8 @@ def _scan(batches, blocks, text_at: int, give):
     import pyarrow as pa
 
     for batch in batches:
-        texts = batch.column(text_at).to_pylist()
-        start = size = 0
-        cuts = []
-        for i, t in enumerate(texts):
-            size += len(t or "")
-            if size >= SHARD_CHARS or i == len(texts) - 1:
-                cuts.append((start, i + 1))
-                start, size = i + 1, 0
-        for i, j in cuts:
-            docs = [words(t) for t in texts[i:j]]
+        for i, texts in text_slices(batch, text_at, SHARD_BYTES):
+            docs = [words(t) for t in texts]
             flags = np.zeros(sum(map(len, docs)), dtype=bool)
             items: dict[int, set[str]] = {}
             for block in blocks:
@@ -216,7 +210,7 @@ def _scan(batches, blocks, text_at: int, give):
                 flags |= hit
                 for d, k in zip(doc.tolist(), item.tolist(), strict=True):
                     items.setdefault(d, set()).add(phrases.names[k])
-            yield give(pa, batch.slice(i, j - i), texts[i:j], docs, flags, items)
+            yield give(pa, batch.slice(i, len(texts)), texts, docs, flags, items)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -248,7 +242,7 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame
         )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _scan(it, blocks, 1, give), "doc_id long, n_words long, n_hit long, items array<string>, spans array<array<int>>")
+    return rows.mapInArrow(lean(lambda it: _scan(it, blocks, 1, give)), "doc_id long, n_words long, n_hit long, items array<string>, spans array<array<int>>")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -276,4 +270,4 @@ def remove(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFra
             out[k] = b"".join([*keep, raw[last:]]).decode()
         return batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
 
-    return docs.mapInArrow(lambda it: _scan(it, blocks, at, give), docs.schema)
+    return docs.mapInArrow(lean(lambda it: _scan(it, blocks, at, give)), docs.schema)

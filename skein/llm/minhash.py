@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, drop, save, shuffle_partitions
+from .common import batches_of, drop, keeps, lean, save, shuffle_partitions
 from .components import components
 
 REGISTERS, ROWS, BANDS = 128, 4, 32
@@ -56,6 +56,8 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
+        if not self:
+            keeps("words", self.clear)
         if len(self) >= self.KEEP:
             self.clear()
         h = xxhash.xxh3_64_intdigest(word)
@@ -260,7 +262,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     """Per row of (doc_id, text): doc_id, n_shingles, component_id, kept. Sets link at similarity num / den."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tie"), F.col("text").cast("string").alias("text"))
     with batches_of(keyed.sparkSession, 2000):
-        sketches = save(keyed.mapInArrow(_sketch(k), "doc_id long, tie long, n long, s1 long, s2 long, bands array<long>"), "sketches")
+        sketches = save(keyed.mapInArrow(lean(_sketch(k), "words"), "doc_id long, tie long, n long, s1 long, s2 long, bands array<long>"), "sketches")
     # Equal sets are one: a text of the smallest doc_id stands for them.
     sets = sketches.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n", "bands").agg(F.min(F.struct("doc_id", "tie")).alias("r"))
     sets = save(sets.select(F.monotonically_increasing_id().alias("set"), F.col("r.doc_id").alias("low"), F.col("r.tie").alias("tie"), "n", "s1", "s2", "bands"), "distinct_sets")
@@ -289,7 +291,7 @@ def _links(keyed: DataFrame, known: DataFrame, k: int, num: int, den: int) -> Da
     wanted = known.join(shared.select("set"), "set", "left_semi").select(F.col("low").alias("doc_id"), "tie", "set")
     wanted = F.broadcast(wanted) if shared.count() <= BROADCAST_ROWS else wanted
     texts = keyed.join(wanted, ["doc_id", "tie"]).select("set", "text").dropDuplicates(["set"])
-    sets = save(texts.mapInArrow(_sets(k), "set long, items binary"), "sets")
+    sets = save(texts.mapInArrow(lean(_sets(k), "words"), "set long, items binary"), "sets")
     # 1. Every member with its bucket's leader.
     lead = members.join(shared.select("set", "meets"), "set").groupBy("band", "key").agg(F.max(F.struct("meets", "set", "n")).alias("l"))
     lead = save(lead.select("band", "key", F.col("l.set").alias("lead"), F.col("l.n").alias("lead_n")), "leads")
@@ -320,9 +322,9 @@ def _own(some: DataFrame, sets: DataFrame, known: DataFrame) -> DataFrame:
     count, total = known.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     parts = max(shuffle_partitions(spark), int(total) // PART_SHINGLES)
     blocks = 1 + int(count) // BLOCK_SETS
-    dealt = sets.join(some, "set", "left_semi").mapInArrow(_spread(parts), "part int, items binary, owners binary").repartition(parts, "part").sortWithinPartitions("part")
-    counts = dealt.mapInArrow(_lonely(blocks), "block int, sets binary, counts binary").repartition(blocks, "block").sortWithinPartitions("block")
-    return save(counts.mapInArrow(_sums, "set long, own long"), "own")
+    dealt = sets.join(some, "set", "left_semi").mapInArrow(lean(_spread(parts), "words"), "part int, items binary, owners binary").repartition(parts, "part").sortWithinPartitions("part")
+    counts = dealt.mapInArrow(lean(_lonely(blocks), "words"), "block int, sets binary, counts binary").repartition(blocks, "block").sortWithinPartitions("block")
+    return save(counts.mapInArrow(lean(_sums, "words"), "set long, own long"), "own")
 
 
 def _rest(left: DataFrame, tested: DataFrame, num: int, den: int) -> DataFrame:
@@ -350,7 +352,7 @@ def _judge(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     one = sets.select("set", F.col("items").alias("items_a"))
     two = sets.select(F.col("set").alias("lead"), F.col("items").alias("items_b"))
     both = pairs.join(one, "set").join(two, "lead").select("set", "lead", "items_a", "items_b")
-    return both.mapInArrow(_verify(num, den), "set long, lead long, linked boolean, miss array<long>")
+    return both.mapInArrow(lean(_verify(num, den), "words"), "set long, lead long, linked boolean, miss array<long>")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:

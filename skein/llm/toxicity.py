@@ -27,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean, text_slices
 from .fmindex import WORD
 from .lm import held_out
 
-MAX_DOCS, WINDOW, BLOCK, SLICE_CHARS = 4000, 8, 64, 1_500_000
+MAX_DOCS, WINDOW, BLOCK, SLICE_BYTES = 4000, 8, 64, 1_500_000
 MIN_DOCS, MIN_Z, MIN_ODDS, PRIOR = 5, 3.0, 3.0, 0.5
 THRESHOLD = 0.3
 
@@ -275,8 +276,9 @@ def _spans(text: str | None, own: np.ndarray) -> list[list[int]]:
 
 
 def score(docs: DataFrame, tagger: Tagger | None, name: str = "score", spans: str | None = "spans") -> DataFrame:
-    """The table with each text's score and, if named, its toxic spans (begin and end in code points)."""
+    """The table with each text's score and, if named, its toxic spans (begin and end in code points), in place of columns with these names."""
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (name, spans)])
     at = docs.columns.index("text")
     names = [*docs.columns, name] + [spans] * bool(spans)
 
@@ -284,22 +286,30 @@ def score(docs: DataFrame, tagger: Tagger | None, name: str = "score", spans: st
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            start = size = 0
-            for i, t in enumerate(texts):
-                size += len(t or "")
-                if size < SLICE_CHARS and i < len(texts) - 1:
-                    continue
-                own = texts[start : i + 1]
+            for start, own in text_slices(batch, at, SLICE_BYTES):
                 s, m, sizes = _scores(shared.value, own)
                 cols = [*batch.slice(start, len(own)).columns, pa.array(s, pa.float64())]
                 if spans:
                     cuts = np.concatenate([[0], np.cumsum(sizes)])
                     cols.append(pa.array([_spans(t, m[a:b]) for t, a, b in zip(own, cuts, cuts[1:], strict=False)], pa.list_(pa.list_(pa.int32()))))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
-                start, size = i + 1, 0
 
     added = [T.StructField(name, T.DoubleType())]
     if spans:
         added.append(T.StructField(spans, T.ArrayType(T.ArrayType(T.IntegerType()))))
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, *added]))
+
+
+def keep(docs: DataFrame, tagger: Tagger | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows whose text scores below the threshold, with all their columns, whatever their names."""
+    shared = docs.sparkSession.sparkContext.broadcast(tagger)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for start, own in text_slices(batch, at, SLICE_BYTES):
+                yield batch.slice(start, len(own)).filter(pa.array(_scores(shared.value, own)[0] < threshold))
+
+    return docs.mapInArrow(lean(run), docs.schema)
