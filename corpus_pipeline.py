@@ -13,19 +13,18 @@ from skein.llm.queries import vocabulary
 def _same_columns(changed: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of documents; n_chars follows the text."""
     n = F.char_length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
-    return changed.select(*[n.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return changed.select(*[n.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the threshold go."""
     tagger = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, tagger, name="_score", spans=None)
-    return scored.where(F.col("_score") < toxicity.THRESHOLD).drop("_score")
+    return toxicity.keep(docs, tagger)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of line runs of 50 words or more go, and documents of which nothing is left."""
-    return _same_columns(linededup.dedup_lines(docs), docs)
+    return _same_columns(linededup.dedup_lines(docs, report=False), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
