@@ -29,13 +29,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, shuffle_partitions
+from .common import lean, save, shuffle_partitions, text_slices
 
 BITS_PER_EVENT, PROBES = 8, 4
 HOT_WORDS, TOP_WORDS = 1024, 1 << 19
 FINE = float(np.log(1.15))
 END = 0x5851F42D4C957F2D
-PART_TOKENS, SLICE_CHARS = 2_000_000, 4_000_000
+PART_TOKENS, SLICE_BYTES = 2_000_000, 1_000_000
 _U = np.uint64
 
 
@@ -202,21 +202,11 @@ class Model:
         return np.log10(np.minimum(p, 1.0)), exact[back]
 
 
-def _slices(batch, text_at: int):
-    texts = batch.column(text_at).to_pylist()
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= SLICE_CHARS or i == len(texts) - 1:
-            yield start, texts[start : i + 1]
-            start, size = i + 1, 0
-
-
 def _count_words(batches):
     import pyarrow as pa
 
     for batch in batches:
-        for _, texts in _slices(batch, 0):
+        for _, texts in text_slices(batch, 0, SLICE_BYTES):
             words, n = np.unique(token_hashes(texts)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(words.view("<i8"), pa.int64()), pa.array(n, pa.int64())], names=["w", "c"])
 
@@ -226,7 +216,7 @@ def _count_pairs(hot: np.ndarray, parts: int):
         import pyarrow as pa
 
         for batch in batches:
-            for _, texts in _slices(batch, 0):
+            for _, texts in text_slices(batch, 0, SLICE_BYTES):
                 keys, n = np.unique(pair_keys(*token_hashes(texts)), return_counts=True)
                 to = part_of(keys, hot, parts)
                 order = np.argsort(to * 2 + (n > 1), kind="stable")
@@ -277,7 +267,7 @@ def _add_up(hot: np.ndarray, max_bits: int | None = None):
 def train(texts: DataFrame, max_bits: int | None = None) -> tuple[Model, DataFrame]:
     """texts: (text). Gives the model and the exact word counts (w, c)."""
     spark = texts.sparkSession
-    counts = save(texts.mapInArrow(_count_words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "words")
+    counts = save(texts.mapInArrow(lean(_count_words, "words"), "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     # The count from which a word is frequent, from a histogram of a few hundred cells.
     cell = F.floor(F.log2("c") * 16).cast("int")
@@ -295,9 +285,9 @@ def train(texts: DataFrame, max_bits: int | None = None) -> tuple[Model, DataFra
     words, c = top["w"].to_numpy().astype("int64").view("uint64"), top["c"].to_numpy().astype("int64")
     hot = np.unique(short(words[c >= limits["hot"]]))
     parts = max(shuffle_partitions(spark), total // PART_TOKENS)
-    dealt = texts.mapInArrow(_count_pairs(hot, parts), "part int, one binary, many binary, n binary").repartition(parts, "part").sortWithinPartitions("part")
+    dealt = texts.mapInArrow(lean(_count_pairs(hot, parts), "words"), "part int, one binary, many binary, n binary").repartition(parts, "part").sortWithinPartitions("part")
     schema = "part int, bits binary, size long, discount double, least long, hot array<long>, total array<double>, mass array<double>"
-    built = save(dealt.mapInArrow(_add_up(hot, None if max_bits is None else max_bits // parts), schema), "segments")
+    built = save(dealt.mapInArrow(lean(_add_up(hot, None if max_bits is None else max_bits // parts), "words"), schema), "segments")
     segments = [tuple(r) for r in built.select("part", "bits", "size", "discount", "least").toLocalIterator()]
     one = F.explode(F.arrays_zip("hot", "total", "mass")).alias("z")
     sums = built.select(one).groupBy(F.col("z.hot").alias("h")).agg(F.sum("z.total").alias("t"), F.sum("z.mass").alias("m")).collect()
@@ -315,7 +305,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
         m = shared.value
         for batch in batches:
-            for start, texts in _slices(batch, 3):
+            for start, texts in text_slices(batch, 3, SLICE_BYTES):
                 tokens, sizes = token_hashes(texts)
                 logp, exact = m.log_probabilities(tokens, sizes)
                 first = np.cumsum(sizes) - sizes
@@ -334,7 +324,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 )
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text")
-    scored = save(rows.mapInArrow(run, "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, w array<long>, n array<long>"), "scored")
+    scored = save(rows.mapInArrow(lean(run, "words"), "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, w array<long>, n array<long>"), "scored")
+    shared.unpersist()
     rest = scored.select("rid", F.explode(F.arrays_zip("w", "n")).alias("z")).select("rid", F.col("z.w").alias("w"), F.col("z.n").alias("n"))
     found = rest.join(counts, "w").groupBy("rid").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"), F.sum("n").alias("known"))
     down = float(np.log10(model.total + model.distinct + 1))
