@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, range_bounds, range_bucket, save, shuffle_partitions
+from .common import drop, lean, range_bounds, range_bucket, save, shuffle_partitions
 
 BITS, LOW, WORD = 20, 1 << 31, 32
 BLOCK_IDS, MAX_LANES, CHECK_STEPS = 1 << 18, 1024, 128
@@ -134,18 +134,25 @@ def encode_block(ids: np.ndarray, doc_ids: np.ndarray, nulls: np.ndarray, length
     return _HEAD.pack(MAGIC, len(ids), start, lanes, steps, len(doc_ids), len(words), len(marks), zlib.crc32(body)) + body
 
 
-def _tokenise(path: str, end_id: int):
+def id_type(path: str, end_id: int) -> str:
+    """How ids are kept on the way to their blocks: in 16 bits if all of the vocabulary's fit, else in 32."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max([end_id, *Tokenizer.from_file(path).get_vocab(True).values()]) < 1 << 16 else "<u4"
+
+
+def _tokenise(path: str, end_id: int, kept: str):
     def run(batches):
         import pyarrow as pa
         import zstandard
 
         from .tokens import encoder, slices
 
-        enc, end, press = encoder(path, False), end_id.to_bytes(4, "little"), zstandard.ZstdCompressor(level=1)
+        enc, end, press = encoder(path), end_id.to_bytes(4, "little"), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             rows = list(zip(zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), strict=True), [t or "" for t in batch.column(3).to_pylist()], strict=True))
             for part in slices(rows):
-                ids = [np.frombuffer(x + end, dtype="<u4").astype("<u2") for x in enc.encode([t for _, t in part])]
+                ids = [np.frombuffer(x + end, dtype="<u4").astype(kept) for x in enc.encode([t for _, t in part])]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([k[0] for k, _ in part], pa.int32()),
@@ -159,7 +166,7 @@ def _tokenise(path: str, end_id: int):
     return run
 
 
-def _group(batches):
+def _group(batches, kept: str):
     """Sorted documents in; blocks of whole documents out. A block ends with its bucket or at BLOCK_IDS ids."""
     import pyarrow as pa
     import zstandard
@@ -192,7 +199,7 @@ def _group(batches):
                 yield flush()
             if b != bucket:
                 bucket, number, first = b, 0, 0
-            a = np.frombuffer(unpress.decompress(blob), dtype="<u2")
+            a = np.frombuffer(unpress.decompress(blob), dtype=kept)
             docs.append(doc)
             ids.append(a)
             size += len(a)
@@ -200,14 +207,17 @@ def _group(batches):
         yield flush()
 
 
-def _count(batches):
+def _count(batches, kept: str):
     import pyarrow as pa
     import zstandard
 
-    unpress, counts = zstandard.ZstdDecompressor(), np.zeros(1 << 16, dtype=np.int64)
+    unpress, counts = zstandard.ZstdDecompressor(), np.zeros(1, dtype=np.int64)
     for batch in batches:
         for blob in batch.column(0).to_pylist():
-            counts += np.bincount(np.frombuffer(unpress.decompress(blob), dtype="<u2"), minlength=1 << 16)
+            own = np.bincount(np.frombuffer(unpress.decompress(blob), dtype=kept))
+            if len(own) > len(counts):
+                counts = np.concatenate([counts, np.zeros(len(own) - len(counts), dtype=np.int64)])
+            counts[: len(own)] += own
     some = np.nonzero(counts)[0]
     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some], pa.int64())], names=["id", "n"])
 
@@ -215,15 +225,15 @@ def _count(batches):
 def write(docs: DataFrame, path: str, end_id: int = 1) -> tuple[DataFrame, DataFrame]:
     """Encode (doc_id, text); gives the written files as tables: blocks (bucket, block, payload) and frequencies (id, freq)."""
     spark = docs.sparkSession
-    n = shuffle_partitions(spark)
+    n, kept = shuffle_partitions(spark), id_type(path, end_id)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bounds = range_bounds(docs, "doc_id", 4 * n)
     keyed = docs.select(range_bucket(F.col("doc_id"), bounds).cast("int").alias("bucket"), "doc_id", F.xxhash64("text").alias("tie"), "text")
-    ids = keyed.mapInArrow(_tokenise(path, end_id), "bucket int, doc_id long, tie long, ids binary")
+    ids = keyed.mapInArrow(lean(_tokenise(path, end_id, kept), "tokens"), "bucket int, doc_id long, tie long, ids binary")
     ordered = ids.repartition(n, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "tie")
-    raw = save(ordered.mapInArrow(_group, "bucket int, block int, first long, n long, docs array<long>, lengths array<long>, ids binary"), "id_blocks")
+    raw = save(ordered.mapInArrow(lean(lambda it: _group(it, kept)), "bucket int, block int, first long, n long, docs array<long>, lengths array<long>, ids binary"), "id_blocks")
     # The table has one entry per id of the vocabulary, the offsets one per key range: both are bounded.
-    found = raw.select("ids").mapInArrow(_count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    found = raw.select("ids").mapInArrow(lean(lambda it: _count(it, kept)), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max([0, *(r["id"] for r in found)]) + 1, dtype=np.int64)
     for r in found:
         counts[r["id"]] = r["n"]
@@ -240,12 +250,12 @@ def write(docs: DataFrame, path: str, end_id: int = 1) -> tuple[DataFrame, DataF
         unpress = zstandard.ZstdDecompressor()
         for batch in batches:
             for r in batch.to_pylist():
-                a = np.frombuffer(unpress.decompress(r["ids"]), dtype="<u2").astype(np.int64)
+                a = np.frombuffer(unpress.decompress(r["ids"]), dtype=kept).astype(np.int64)
                 doc_ids, nulls = np.array([d or 0 for d in r["docs"]]), np.array([d is None for d in r["docs"]])
                 payload = encode_block(a, doc_ids, nulls, np.array(r["lengths"]), starts[r["bucket"]] + r["first"], freq)
                 yield pa.RecordBatch.from_arrays([pa.array([r["bucket"]], pa.int32()), pa.array([r["block"]], pa.int32()), pa.array([payload], pa.binary())], names=["bucket", "block", "payload"])
 
-    blocks = save(raw.mapInArrow(encode, "bucket int, block int, payload binary"), "rans_blocks")
+    blocks = save(raw.mapInArrow(lean(encode), "bucket int, block int, payload binary"), "rans_blocks")
     drop(raw)
     table = save(spark.createDataFrame([(i, int(f)) for i, f in enumerate(freq) if f], "id int, freq long"), "rans_table")
     return blocks, table
@@ -278,7 +288,7 @@ def read(blocks: DataFrame, table: DataFrame) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return blocks.select("payload").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return blocks.select("payload").mapInArrow(lean(decode), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:

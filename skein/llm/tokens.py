@@ -1,19 +1,23 @@
 """Tokenising with the tokenizers library, one call for each distinct piece of text between single spaces.
 
-Both vocabularies split a text before merging, and a single space between two
-non-space characters is always a boundary: the space belongs to what follows it
-(byte_bpe) or to nothing (word_bpe). So a piece's ids don't depend on its
-neighbours, and a worker keeps the ids of pieces that it has met. A new piece
-of plain Latin text is cut into words by the vocabulary's own pattern and each
-new word goes to the library's merging model; any other piece goes through the
-library's whole chain.
+Two kinds of vocabulary split a text before merging so that a single space
+between two non-space characters is always a boundary: the space belongs to what
+follows it (byte level) or to nothing (words of one case). So a piece's ids don't
+depend on its neighbours, and a worker keeps the ids of pieces that it has met. A
+new piece of plain Latin text is cut into words by the vocabulary's own pattern
+and each new word goes to the library's merging model; any other piece goes
+through the library's whole chain. Which kind a file is, is read from the file;
+with a file of any other kind whole texts go to the library.
 """
 
 from __future__ import annotations
 
 import gc
+import json
 import re
 
+from .common import keeps
+
 _TWO_SPACES = re.compile(r"\s\s")
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 #: Where every library agrees on what is a letter, a digit or a space, and a lower-case form is one per character.
@@ -32,6 +36,31 @@ def _byte_letters() -> dict[int, str]:
 
 
 _BYTE_LETTERS = _byte_letters()
+#: How a file of each kind describes its normalizer and pre-tokenizer.
+_BYTE_CHAIN = (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
+_LOWER_CHAIN = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+
+
+def kind_of(path: str) -> str | None:
+    """`byte`, `lower` or None, from what the file says of its chain, its model and its added tokens."""
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    model, tokens = d["model"], d.get("added_tokens") or []
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "byte_fallback", "ignore_merges", "continuing_subword_prefix", "fuse_unk"))
+    plain = plain and not d.get("truncation") and not d.get("padding")
+    # added tokens are found by their first letters, inside one piece
+    if not plain or any(not t["content"].startswith("<|") or " " in t["content"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
+        return None
+    return {str(_BYTE_CHAIN): "byte", str(_LOWER_CHAIN): "lower"}.get(str((d.get("normalizer"), d.get("pre_tokenizer"))))
 
 
 class PieceEncoder:
@@ -40,11 +69,12 @@ class PieceEncoder:
     #: Pieces and words kept in each of two generations, and the longest that is kept.
     KEEP, LONGEST = 200_000, 64
 
-    def __init__(self, path: str, spaces_count: bool):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.spaces_count = spaces_count
+        self.kind = kind_of(path)
+        self.spaces_count = self.kind == "byte"
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -100,6 +130,8 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids; the cycle collector rests meanwhile, as nothing here makes cycles."""
+        if self.kind is None:
+            return [b"".join([self.ids[i] for i in e.ids]) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         gc.disable()
         try:
             return self._encode(texts)
@@ -126,14 +158,15 @@ class PieceEncoder:
         return out
 
 
-_encoders: dict[tuple[str, bool], PieceEncoder] = {}
+_encoders: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str, spaces_count: bool) -> PieceEncoder:
+def encoder(path: str) -> PieceEncoder:
     """This worker's encoder for a vocabulary file."""
-    if (key := (path, spaces_count)) not in _encoders:
-        _encoders[key] = PieceEncoder(path, spaces_count)
-    return _encoders[key]
+    if path not in _encoders:
+        keeps("tokens", _encoders.clear)
+        _encoders[path] = PieceEncoder(path)
+    return _encoders[path]
 
 
 def slices(rows: list, budget: int = 4_000_000):
