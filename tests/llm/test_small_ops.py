@@ -158,6 +158,80 @@ def test_op8(spark, sf_dir, rows, docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def lengths_of(texts, parts):
+    """Histograms of the piece lengths of texts dealt over so many shards."""
+    out = [Counter() for _ in range(parts)]
+    for k, (_, ids) in enumerate(texts):
+        out[k % parts][len(ids) % 2048 or 2048] += 1
+        if len(ids) > 2048:
+            out[k % parts][2048] += (len(ids) - 1) // 2048
+    return out
+
+
+def test_op8_needs_no_more_sequences_for_more_shards(spark):
+    texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    ids = encoded([tuple(r) for r in texts], "byte_bpe_50k.json", 0)
+    seen = set()
+    for parts in (1, 4, 8, 16, 64):
+        whole, given, full, other = Counter(), Counter(), 0, 0
+        for counts in lengths_of(ids, parts):
+            whole.update(counts)
+            for n, lengths in packing.best_fit(counts):
+                full, other = full + n * (sum(lengths) == 2048), other + n * (sum(lengths) < 2048)
+                given.update({x: n * k for x, k in Counter(lengths).items()} if sum(lengths) < 2048 else {})
+        what, _, bins, bound = packing.exchange(whole, (full, other), given)
+        seen.add(what)
+        assert bound == packing.certificate(whole)[1] <= bins <= bound + 1
+    assert len(seen) > 1
+
+
+def test_op8_exchanges_between_shards(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    data = [(i, " ".join(["word"] * int(rng.integers(1, 1500)))) for i in range(150)] + [(200, "long " * 9000), (201, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    want = encoded(data, "byte_bpe_50k.json", 0)
+    bound = packing.certificate(lengths_of(want, 1)[0])[1]
+    path, taken = queries.vocabulary("byte_bpe_50k.json"), packing.exchange
+    monkeypatch.setattr(packing, "SHARD_PIECES", 40)
+    assert check_packing(packing.pack(docs, path).collect(), want) <= bound + 1
+    for what in ("nothing", "rest", "all"):  # each way gives a whole packing
+
+        def forced(counts, shards, given, capacity, what=what):
+            pool = {"nothing": {}, "rest": given, "all": counts}[what]
+            return what, packing.best_fit(pool, capacity), 0, 0
+
+        monkeypatch.setattr(packing, "exchange", forced)
+        check_packing(packing.pack(docs, path).collect(), want)
+    monkeypatch.setattr(packing, "exchange", taken)
+
+
+def test_tokens_of_any_vocabulary_file(tmp_path):
+    import json
+
+    from skein.llm import tokens
+    from tokenizers import Tokenizer
+
+    texts = ["Plain text, it's 42 words\n\nlong", "", "  two  spaces <|endoftext|> x", "naïve Straße ½ 日本語"]
+    for name, kind in (("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "lower")):
+        path = queries.vocabulary(name)
+        with open(path, encoding="utf-8") as f:
+            d = json.load(f)
+        d["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "Digits", "individual_digits": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}]}
+        other = tmp_path / name
+        other.write_text(json.dumps(d))
+        assert tokens.kind_of(path) == kind and tokens.kind_of(str(other)) is None
+        for p in (path, str(other)):
+            want = [e.ids for e in Tokenizer.from_file(p).encode_batch(texts, add_special_tokens=False)]
+            assert [np.frombuffer(x, dtype="<u4").tolist() for x in tokens.PieceEncoder(p).encode(texts)] == want
+
+
+def test_op9_wide_ids(spark, docs, monkeypatch):
+    path = queries.vocabulary("word_bpe_49k.json")
+    assert rans.id_type(path, 1) == "<u2" and rans.id_type(path, 70_000) == "<u4"
+    got = {(r.doc_id, r.n_tokens, r.ids_crc32) for r in rans.read(*rans.write(docs, path, end_id=70_000)).collect()}
+    assert got == {(d, len(ids), crc(ids)) for d, ids in encoded(AWKWARD, "word_bpe_49k.json", 70_000)}
+
+
 def test_bounds_never_exceed_packing():
     rng = np.random.default_rng(1)
     for _ in range(50):
