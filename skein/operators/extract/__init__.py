@@ -17,7 +17,7 @@ from . import languages, python_lang
 from .lexer import Facts, Source
 
 #: Part of the fact store's key: facts of another version are extracted anew.
-VERSION = "1+definition-spans"
+VERSION = "2+declared-names"
 
 _extra: dict[str, Callable[[bytes, str], Facts]] = {}
 

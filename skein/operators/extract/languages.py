@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Callable, Iterator
 
@@ -40,7 +41,7 @@ KEYWORDS = C_WORDS | frozenset(
 )
 #: Words before a parenthesis that call nothing, by language.
 WORDS = {
-    "c": C_WORDS, "cpp": C_WORDS, "objectivec": C_WORDS, "go": KEYWORDS | {"go", "defer", "range", "select"}, "rust": KEYWORDS | {"match", "loop", "pub", "where"},
+    "c": C_WORDS, "cpp": C_WORDS, "objectivec": C_WORDS, "go": KEYWORDS | {"go", "defer", "range", "select", "type", "struct", "chan", "map"}, "rust": KEYWORDS | {"match", "loop", "pub", "where"},
     "php": KEYWORDS | {"echo", "print", "isset", "unset", "empty", "list", "array", "require", "include", "require_once", "include_once", "elseif", "match", "exit", "die"},
     "lua": frozenset("and or not if elseif while until return function local in for do then repeat end nil true false".split()),
     "elixir": KEYWORDS | {"cond", "unless", "when", "do", "end"}, "ruby": KEYWORDS | {"unless", "until", "when", "then", "elsif"}, "scala": KEYWORDS | {"match"}, "swift": KEYWORDS | {"guard", "repeat", "where"},
@@ -67,8 +68,40 @@ def quoted(f: Facts, pattern: str) -> Iterator[tuple[str, int, int]]:
             yield m[k], m.start(k) - 1, m.end(k) + 1
 
 
-def calls(f: Facts, full: bool, words: frozenset[str] = KEYWORDS, heads: str = "", generics: bool = False, pattern: str | None = None) -> None:
-    """Names before a parenthesis; full keeps the receiver. heads: a pattern that marks a definition right before the name."""
+class Nest:
+    """Which bracket an offset stands in directly."""
+
+    def __init__(self, s: Source):
+        self.code, self.opens, self.ends = s.code, sorted(s.pairs), s.pairs
+        self.up: dict[int, int] = {}
+        stack: list[int] = []
+        for a in self.opens:
+            while stack and s.pairs[stack[-1]] < a:
+                stack.pop()
+            self.up[a] = stack[-1] if stack else -1
+            stack.append(a)
+
+    def parent(self, at: int) -> int:
+        """The offset of the innermost open bracket around an offset, or -1."""
+        k = bisect.bisect_left(self.opens, at) - 1
+        a = self.opens[k] if k >= 0 else -1
+        while a >= 0 and self.ends[a] < at:
+            a = self.up[a]
+        return a
+
+    def before(self, at: int, marks: str = ";{}(") -> str:
+        """The text from the last of some marks up to an offset, in the same bracket or from its start."""
+        a = max([self.parent(at), *(self.code.rfind(c, max(0, at - 400), at) for c in marks)])
+        return self.code[a + 1 : at]
+
+
+def bodies_of(s: Source, head: str) -> set[int]:
+    """Offsets of the braces that open after a head."""
+    return {m.end() - 1 for m in re.compile(rf"{head}[^;{{}}()]*\{{").finditer(s.code)}
+
+
+def calls(f: Facts, full: bool, words: frozenset[str] = KEYWORDS, heads: str = "", generics: bool = False, pattern: str | None = None, skip: Callable[[int, str], bool] | None = None) -> None:
+    """Names before a parenthesis; full keeps the receiver. heads: a pattern that marks a definition right before the name; skip: (offset, name)."""
     between = r"\s*(?:::)?(?:<[\w\s,.<>\[\]?:&*]*>)?" if generics else r"\s*"
     head = re.compile(rf"(?:{heads})\s*$") if heads else None
     for m in scan(f, pattern or rf"(?<![\w.$:>\x80-\xff])({CHAIN}){between}\("):
@@ -76,7 +109,7 @@ def calls(f: Facts, full: bool, words: frozenset[str] = KEYWORDS, heads: str = "
         last = _tail(text)
         if last in words:
             continue
-        if head and head.search(f.source.code, max(0, m.start() - 60), m.start()):
+        if head and head.search(f.source.code, max(0, m.start() - 60), m.start()) or skip and skip(m.start(), text):
             continue
         f.add_call(text if full else last, m.end(1) - len(last), m.end(1))
     # a call on a call's result: the receiver has no name
@@ -144,7 +177,17 @@ def _ecma(f: Facts, typed: bool) -> None:
             if re.match(r"\s*(?::[^;{}=]+(?:\{[^{}]*\}[^;{}=]*)?)?\{", s.code[close + 1 :]):
                 f.add_symbol(m[1], "method", False, m.start(), s.body_end(close + 1))
                 heads.add(s.span(m.start(1), m.end(1)))
-    calls(f, True, heads=r"function\s*\*?|class", generics=typed, pattern=rf"(?<![\w.$\x80-\xff])({name}(?:\s*\??\.\s*#?{name})*)\s*{'(?:<[^()<>=]*>)?' if typed else ''}\(")
+    nest, types = Nest(s), bodies_of(s, r"\b(?:class|interface)\b")
+    member = re.compile(r"[\s*#]*(?:(?:public|private|protected|static|async|readonly|override|abstract|declare|get|set)\b[\s*#]*)*\Z")
+
+    def signature(at: int, text: str) -> bool:
+        # a member's head, with a body or without, and `import x = require()`
+        if nest.parent(at) in types:
+            own = nest.before(at)
+            return bool(member.match(own) or member.match(own.rpartition("\n")[2]) and not re.search(r"[=.,+\-*/?:&|]\s*\Z", own.rpartition("\n")[0]))
+        return typed and text == "require" and bool(re.search(r"\bimport\s+\w+\s*=\s*\Z", s.code[max(0, at - 80) : at]))
+
+    calls(f, True, heads=r"function\s*\*?|class|\bnew", generics=typed, skip=signature, pattern=rf"(?<![\w.$\x80-\xff])({name}(?:\s*\??\.\s*#?{name})*)\s*{'(?:<[^()<>=]*>)?' if typed else ''}\(")
     f.calls = [c for c in f.calls if c[1] not in heads]
     news(f, rf"\bnew\s+({name}(?:\s*\.\s*{name})*)", full=True)
     if typed:
@@ -193,6 +236,38 @@ def _functions(f: Facts, kind: Callable[[str, int], str], classes: list[tuple[in
         f.add_symbol(last, kind(m[2], m.start(2)), "static" not in m[1].split(), start, end)
 
 
+def _directives(s: Source) -> list[tuple[int, int]]:
+    """Spans of preprocessor lines with their continuations."""
+    return [m.span() for m in re.finditer(r"^[ \t]*#[^\n]*(?:(?<=\\)\n[^\n]*)*", s.code, re.M)]
+
+
+_TYPE_WORDS = frozenset("int char long short float double unsigned signed bool auto size_t".split())
+_NO_TYPE = re.compile(r"\b(?:return|else|throw|case|goto|new|delete|do|co_await|co_return|co_yield|and|or|not)\b")
+_TYPE_BEFORE = re.compile(r"\s*(?:(?:public|private|protected)\s*:\s*)*(?:[A-Za-z_][\w:]*(?:\s*<[^;{}()]*>)?[\s*&]+)+\Z")
+
+
+def _declared(f: Facts) -> Callable[[int, str], bool]:
+    """Whether a name before a parenthesis is declared there: on a preprocessor line, behind a type, or a member of a class."""
+    s = f.source
+    lines, nest = _directives(s), Nest(s)
+    starts, types = [a for a, _ in lines], bodies_of(s, r"\b(?:class|struct|union)\b")
+
+    def test(at: int, text: str) -> bool:
+        k = bisect.bisect_right(starts, at) - 1
+        if k >= 0 and at < lines[k][1]:
+            return True
+        if text in _TYPE_WORDS:
+            return True
+        own = nest.before(at)
+        if k >= 0 and lines[k][1] > at - len(own):
+            own = own[lines[k][1] - (at - len(own)) :]
+        if nest.parent(at) in types:
+            return "=" not in own
+        return bool(_TYPE_BEFORE.match(own)) and not _NO_TYPE.search(own)
+
+    return test
+
+
 def c(f: Facts) -> None:
     s = f.source
     _includes(f)
@@ -207,7 +282,7 @@ def c(f: Facts) -> None:
             for d in re.finditer(rf"({IDENT})\s*(?=[,;])", s.code[end : s.code.find(";", end) + 1]):
                 if d[1] not in tags:
                     f.add_symbol(d[1], "class", True, m.start(), end + d.end())
-    calls(f, True, C_WORDS)
+    calls(f, True, C_WORDS, skip=_declared(f))
     _drop_heads(f)
 
 
@@ -228,10 +303,11 @@ def cpp(f: Facts) -> None:
             classes.append((m.end() - 1, end))
     _functions(f, lambda n, at: "method" if "::" in n or enclosing(f, classes, at) else "function", classes or [(-1, -1)])
     f.sort()
+    declared = _declared(f)
     for m in scan(f, rf"(?<![\w.:>\x80-\xff])({CHAIN})\s*(?:<[\w\s,:*&<>]*>)?\s*\("):
         text = _tidy(m[1])
         last = _tail(text)
-        if last not in C_WORDS:
+        if last not in C_WORDS and not re.search(r"\bnew\s+\Z", s.code[max(0, m.start() - 40) : m.start()]) and not declared(m.start(), text):
             f.add_call(last if "::" in text else text, m.end(1) - len(last), m.end(1))
     news(f)
     _drop_heads(f)
@@ -249,7 +325,7 @@ def objectivec(f: Facts) -> None:
         f.add_symbol(m[1], "class", True, m.start() + len(m[0]) - len(m[0].lstrip()), end + 4 if end >= 0 else len(s.code.rstrip()))
     for m in scan(f, rf"^[ \t]*([-+]\s*\([^)]*\)\s*({IDENT}))"):
         f.add_symbol(m[2], "method", True, m.start(1), s.body_end(m.end()))
-    calls(f, False, C_WORDS)
+    calls(f, False, C_WORDS, skip=_declared(f))
     for m in scan(f, r"\["):
         close = s.pairs.get(m.start())
         if close is None:
@@ -301,7 +377,7 @@ def java(f: Facts) -> None:
     for m in scan(f, rf"^[ \t]*import\s+(?:static\s+)?({IDENT}(?:\.{IDENT})*(?:\.\*)?)\s*;"):
         f.add_import(m[1], "external", m.start(1), m.end(1))
     _members(f, "class|interface|@interface|enum|record", frozenset(), lambda mods, kind, _: "public" in mods.split() or (kind == "interface" and "private" not in mods.split()), lambda mods: "public" in mods.split())
-    calls(f, False, heads=r"\bnew|@")
+    calls(f, False, heads=r"\bnew|@|\brecord")
     news(f)
     _drop_heads(f)
 
@@ -311,7 +387,7 @@ def csharp(f: Facts) -> None:
         f.add_import(m[1], "external", m.start(1), m.end(1))
     public = lambda mods, *_: "public" in mods.split()
     _members(f, r"class|interface|struct|enum|record(?:\s+(?:class|struct))?", frozenset(), public, public)
-    calls(f, False, generics=True, heads=r"\bnew")
+    calls(f, False, generics=True, heads=r"\bnew|\b(?:class|struct|record(?:\s+(?:class|struct))?)")
     news(f)
     _drop_heads(f)
 
@@ -375,6 +451,8 @@ def swift(f: Facts) -> None:
         f.add_import(m[1], "external", m.start(1), m.end(1))
     types: list[tuple[int, int]] = []
     for m in scan(f, rf"((?:(?:@\w+|public|private|fileprivate|internal|open|final|static|override|mutating|indirect|required|convenience|class(?=\s+func))(?:\(set\))?\s+)*)\b(class|struct|enum|protocol|actor|func)\s+({IDENT}|[-+*/<>=!]+)"):
+        if re.search(r"\bimport[ \t]+\Z", s.code[max(0, m.start(2) - 20) : m.start(2)]):
+            continue
         end = s.body_end(m.end(), "\n" if m[2] == "func" else ";")
         exported = not word_in_head(m[1], "private", "fileprivate")
         start = m.start(1) if m[1] else m.start(2)
@@ -383,7 +461,9 @@ def swift(f: Facts) -> None:
         else:
             types.append((m.end(), end))
             f.add_symbol(m[3], "class", exported, start, end)
-    calls(f, True, WORDS["swift"], heads=r"\bfunc")
+    nest, enums = Nest(s), bodies_of(s, r"\benum\b")
+    # `init` without a receiver and the cases of an enum are declared there
+    calls(f, True, WORDS["swift"], heads=r"\bfunc", skip=lambda at, text: text in ("init", "subscript") or nest.parent(at) in enums and bool(re.match(r"\s*(?:indirect\s+)?case\b", nest.before(at).rpartition("\n")[2])))
 
 
 def go(f: Facts) -> None:
@@ -406,7 +486,8 @@ def go(f: Facts) -> None:
             end = min(s.body_end(t.end(), "\n"), close)
             f.add_symbol(t[1], "class", upper(t[1]), t.start(1), end - (s.code[end - 1] == "\n"))
             at = max(end, t.end())
-    calls(f, True, WORDS["go"], heads=r"\bfunc(?:\s*\([^)]*\))?", generics=False)
+    nest, methods = Nest(s), {m.end() - 1 for m in scan(f, r"\binterface\s*\{")}
+    calls(f, True, WORDS["go"], heads=r"\bfunc(?:\s*\([^)]*\))?", generics=False, skip=lambda at, _: nest.parent(at) in methods)
 
 
 def zig(f: Facts) -> None:
@@ -550,17 +631,26 @@ def rust(f: Facts) -> None:
     for m in scan(f, rf"((?:#\s*\[[^\]]*\]\s*)*)\bmacro_rules!\s*({IDENT})"):
         f.add_symbol(m[2], "function", "macro_export" in m[1], m.start() + len(m[1]), s.body_end(m.end()))
     heads = {(x[3][0]) for x in f.symbols}
+    nest, enums = Nest(s), bodies_of(s, r"\benum\b")
+    uses = [m.span() for m in scan(f, r"(?<![\w.])use\s+[^;]+;")]
+    use_starts = [a for a, _ in uses]
+
+    def declared(at: int) -> bool:
+        """A variant of an enum, or a name that a `use` brings in."""
+        k = bisect.bisect_right(use_starts, at) - 1
+        return nest.parent(at) in enums and "=" not in nest.before(at, ",{") or k >= 0 and at < uses[k][1]
+
     for m in scan(f, rf"(?<![\w.:\x80-\xff])({IDENT}(?:\s*(?:\.|::)\s*{IDENT})*)\s*(!)?\s*(?:::\s*<[^()]*>)?\s*([(\[{{])"):
         text, last = _tidy(m[1]), _tail(_tidy(m[1]))
-        if not m[2] and m[3] != "(" or last in WORDS["rust"]:
+        if not m[2] and m[3] != "(" or last in WORDS["rust"] or declared(m.start()):
             continue
         if re.search(r"\b(?:fn|macro_rules!|struct|enum|union)\s*$", s.code[max(0, m.start() - 16) : m.start()]) and s.span(m.start(), m.start())[0] in heads:
             continue
         f.add_call(text, m.end(1) - len(last), m.end(1))
     for m in scan(f, r"(?<![\w\x80-\xff])([A-Z][A-Za-z0-9_]*)(?!\s*[(!\w])"):
-        if not re.search(r"\b(?:struct|enum|union|trait|type|fn|mod)\s+$", s.code[max(0, m.start() - 10) : m.start()]) and not m[1].isupper():
+        if not re.search(r"\b(?:struct|enum|union|trait|type|fn|mod)\s+$", s.code[max(0, m.start() - 10) : m.start()]) and not m[1].isupper() and not declared(m.start()):
             f.add_call(m[1], m.start(1), m.end(1))
-    for m in scan(f, r"#\s*!?\s*\[\s*([A-Za-z_]\w*)(?:\s*\(([^\]]*)\))?"):
+    for m in scan(f, r"#\s*!?\s*\[\s*([A-Za-z_]\w*)(?!\s*=|\w)(?:\s*\(([^\]]*)\))?"):
         f.add_call(m[1], m.start(1), m.end(1))
         if m[1] == "derive":
             for d in re.finditer(r"[A-Za-z_]\w*", m[2] or ""):
@@ -608,7 +698,7 @@ def ruby(f: Facts) -> None:
         if "#{" in raw or s.code[m.start(1)] != s.text[m.start(1)]:
             continue
         f.add_import(raw, "local" if m[1] == "require_relative" or raw.startswith(("./", "../")) else "external", m.start(3) - 1, m.end(3) + 1)
-    block = r"(?:^|(?<=[;=(]))[ \t]*(?:class|module|def|if|unless|while|until|case|begin|for)\b|\bdo\b(?:[ \t]*\|[^|\n]*\|)?[ \t]*$"
+    block = r"(?:^|(?<=[;=(]))[ \t]*(?:class|module|def(?![ \t]+[\w.?!]+(?:[ \t]+=|\([^)\n]*\)[ \t]*=)(?![=~>]))|if|unless|while|until|case|begin|for)\b|\bdo\b(?:[ \t]*\|[^|\n]*\|)?[ \t]*$"
     ends = {}
     for a, b in _end_blocks(f, block):
         ends[a + len(s.code[a:]) - len(s.code[a:].lstrip(" \t"))] = b
@@ -736,9 +826,10 @@ def bash(f: Facts) -> None:
     for m in scan(f, r"^[ \t]*(?:(function)[ \t]+([\w:.-]+)[ \t]*(?:\(\))?|([\w:.-]+)[ \t]*\(\))\s*(?=[{(])"):
         n = m[2] or m[3]
         start = m.start() + len(m[0]) - len(m[0].lstrip())
-        f.add_symbol(n, "function", True, start, s.body_end(m.end()))
+        subshell = s.code[m.end() : m.end() + 1] == "("
+        f.add_symbol(n, "function", True, start, s.pairs.get(m.end(), len(s.code) - 1) + 1 if subshell else s.body_end(m.end()))
     words = frozenset("if then else elif fi for while until do done case esac in function select time coproc".split())
-    for m in scan(f, r"(?:^|[;&|(`{]|\bthen\b|\bdo\b|\belse\b|\bif\b|\bwhile\b|!)[ \t]*((?:[A-Za-z_]\w*=\S*[ \t]+)*)([\w./:+-]+)(?=[ \t\n;&|)]|$)"):
+    for m in scan(f, r"(?:^|[;&|(`{!])[ \t]*(?:(?:if|then|else|elif|while|until|do|time|!)[ \t]+)*((?:[A-Za-z_]\w*=\S*[ \t]+)*)([\w./:+-]+)(?=[ \t\n;&|)]|$)"):
         if m[2] in words or re.match(r"[\w.-]+[ \t]*\(\)", s.code[m.start(2) :]) or re.fullmatch(r"[A-Za-z_]\w*=.*", m[2]) or m[2].isdigit():
             continue
         f.add_call(m[2], m.start(2), m.end(2))

@@ -82,7 +82,8 @@ _IMPORT = re.compile(r"^[ \t]*import[ \t]+([^\n#;]+)", re.M)
 _FROM = re.compile(r"^[ \t]*from[ \t]+(\.*[\w.]*)[ \t]+import[ \t]+(\([^)]*\)|[^\n#;]+)", re.M)
 _DEF = re.compile(r"^([ \t]*)(?:async[ \t]+)?(def|class)[ \t]+(\w+)", re.M)
 _CALL = re.compile(r"(?<![\w.])([A-Za-z_]\w*(?:\.\w+)*)[ \t]*\(")
-_WORDS = frozenset("if elif while for return and or not in is lambda def class print with assert yield del raise except await".split()) - {"print"}
+_DYNAMIC = re.compile(r"(?<![\w.])(?:importlib\.import_module|__import__)[ \t]*\([ \t]*([\"'])([^\"'\n]+)\1")
+_WORDS = frozenset("import from if elif while for return and or not in is lambda def class print with assert yield del raise except await".split()) - {"print"}
 
 
 def _block_end(code: str, at: int, indent: int) -> int:
@@ -107,6 +108,9 @@ def _fallback(source: Source, facts: Facts) -> Facts:
         raws = [m[1]] if m[1].strip(".") else [m[1] + n for n in names if re.fullmatch(r"\w+", n)]
         for raw in raws:
             facts.add_import(raw, _kind(raw), m.start(), m.end())
+    for m in _DYNAMIC.finditer(source.text):
+        if code[m.start()] == source.text[m.start()]:
+            facts.add_import(m[2], _kind(m[2]), m.start(2) - 1, m.end(2) + 1)
     open_: list[tuple[int, str]] = []
     for m in _DEF.finditer(code):
         indent = len(m[1].expandtabs())

@@ -76,8 +76,8 @@ def _values(rows: list[tuple], columns: str) -> str:
 EDGES = [
     ("python", "main.py", "helper.py"), ("typescript", "main.ts", "helper.ts"), ("javascript", "main.js", "helper.js"), ("java", "app/Main.java", "app/Helper.java"), ("c", "main.c", "helper.h"),
     ("cpp", "main.cpp", "helper.hpp"), ("rust", "src/main.rs", "src/helper.rs"), ("go", "main.go", "util/util.go"), ("zig", "main.zig", "helper.zig"), ("ruby", "main.rb", "helper.rb"),
-    ("php", "main.php", "helper.php"), ("lua", "main.lua", "helper.lua"), ("bash", "main.sh", "helper.sh"), ("objectivec", "main.m", "Helper.h"),
-][:13]
+    ("php", "main.php", "helper.php"), ("lua", "main.lua", "helper.lua"), ("bash", "main.sh", "helper.sh"),
+]
 
 IMPORTS = [
     ("python", "helper", "local"), ("python", "os", "external"), ("typescript", "./helper", "local"), ("javascript", "./helper", "local"), ("java", "app.Helper", "local"),
@@ -87,6 +87,15 @@ IMPORTS = [
     ("ruby", "helper", "local"), ("php", "./helper.php", "local"), ("scala", "util.Helper", "external"), ("lua", "helper", "local"), ("elixir", "Helper", "external"), ("haskell", "Helper", "external"), ("bash", "./helper.sh", "local"),
 ]
 
+#: Every call: (repo, callee, line, first column, column behind it).
+CALLS = [
+    ("bash", "echo", 2, 2, 6), ("bash", "source", 2, 0, 6), ("bash", "greet", 3, 0, 5), ("c", "greet", 3, 24, 29), ("cpp", "greet", 2, 24, 29), ("csharp", "Greet", 2, 44, 49),
+    ("elixir", "Helper.greet", 3, 22, 27), ("go", "fmt.Println", 8, 18, 25), ("go", "util.Greet", 8, 31, 36), ("haskell", "print", 3, 7, 12), ("haskell", "greet", 3, 14, 19),
+    ("java", "greet", 3, 40, 45), ("javascript", "require", 1, 18, 25), ("javascript", "greet", 2, 0, 5), ("lua", "require", 1, 10, 17), ("lua", "h.greet", 2, 2, 7), ("objectivec", "greet", 3, 25, 30),
+    ("php", "greet", 3, 0, 5), ("python", "str", 6, 16, 19), ("python", "greet", 6, 11, 16), ("ruby", "Helper", 2, 0, 6), ("ruby", "Helper.greet", 2, 7, 12), ("rust", "greet", 3, 12, 17),
+    ("scala", "greet", 2, 33, 38), ("swift", "print", 1, 22, 27), ("swift", "greet", 2, 0, 5), ("typescript", "greet", 2, 25, 30), ("zig", "helper.greet", 3, 28, 33),
+]
+
 SYMBOLS = [
     ("python", "run", "function", True, 5, 6), ("python", "Base", "class", True, 1, 3), ("python", "go", "method", True, 2, 3), ("python", "greet", "function", True, 6, 7),
     ("typescript", "run", "function", True, 2, 2), ("typescript", "greet", "function", True, 1, 1), ("javascript", "greet", "function", False, 1, 1),
@@ -112,7 +121,8 @@ def extract_imports_x1_x19(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extract_calls_x1_x19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysed(spark)[1].calls.where("callee_raw rlike '(?i)greet$'").select("repo", F.regexp_extract("callee_raw", r"([A-Za-z]+)$", 1).alias("name")).distinct()
+    c = analysed(spark)[1].calls
+    return c.select("repo", F.col("callee_raw").alias("callee"), F.col("span.start_line").alias("line"), F.col("span.start_col").alias("col"), F.col("span.end_col").alias("end_col"))
 
 
 def resolve_edges_r1_r15(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,6 +139,6 @@ SQL |= {
     "extract_symbols_x1_x19": _values(SYMBOLS, "repo, name, kind, exported, line, end_line"),
     "extract_imports_x1_x19": _values(IMPORTS, "repo, raw, kind"),
     "resolve_edges_r1_r15": _values(EDGES, "repo, src, dst"),
-    "extract_calls_x1_x19": _values([(p, "Greet" if p in ("go", "csharp") else "greet") for p in PROJECTS], "repo, name"),
+    "extract_calls_x1_x19": _values(CALLS, "repo, callee, line, col, end_col"),
     "syntax_errors_x20": _values([("python", "a.py", 1), ("go", "a.go", 2)], "repo, path, line"),
 }

@@ -13,6 +13,7 @@ from skein.operators import recurse, resolve, rules, store, symbols
 from skein.operators import extract as X
 from skein.operators.extract.languages import expand_use
 from skein.plans import commands, projects, render
+from skein.schema import SOURCES
 from skein.sources import config as C
 from skein.sources import scan
 from skein.sources.ignore import Ignore
@@ -193,6 +194,34 @@ def test_python_facts():
     assert facts("python", "def ok():\n    pass\nclass (:\nimport z\n")[0] == [("z", "external")]
 
 
+@pytest.mark.parametrize(
+    ("lang", "body", "calls"),
+    [
+        ("typescript", "import fs = require('fs');\nabstract class A {\n  abstract go(): void;\n  run(): void { this.go(); f(1) }\n  x = make();\n  y =\n    late();\n}\ninterface I { m(a: number): string; n(): void }\nconst w = new Worker();\n", ["this.go", "f", "make", "late", "Worker"]),
+        ("javascript", "class K {\n  #p() { return q() }\n  static async r() {}\n  get s() { return this.#p() }\n}\n", ["q", "this.#p"]),
+        ("java", "record P(int x, int y) { int s() { return add(x); } }\n", ["add"]),
+        ("csharp", "record P(int X);\nrecord struct Q(int Y);\nclass C { void M() { Run(); } }\n", ["Run"]),
+        ("c", "#define X(a) foo(a)\n#define Y(a) \\\n  bar(a)\nint proto(int);\nstatic int (*fp)(int);\nint x = init();\nint main(void) { int y = g(1); if (y) return h(y); else k(); return X(y); }\n", ["init", "g", "h", "k", "X"]),
+        ("cpp", "int proto(int);\nclass A {\npublic:\n  A();\n  explicit A(int);\n  void f();\n  int z = start();\n  void g() { f(); B b(1); ns::run(); return h(); }\n};\nauto p = new A();\n", ["start", "f", "run", "h", "A"]),
+        ("go", "package a\ntype (\n\tT int\n)\ntype I interface {\n\tM()\n\tN(x int) int\n}\nfunc f() { g(); t.M() }\n", ["g", "t.M"]),
+        ("swift", "import class UIKit.UIView\nfunc top() { go() }\nclass K {\n  init(x: Int) { super.init(); run() }\n}\nenum E {\n  case a(Int)\n}\n", ["go", "super.init", "run"]),
+        ("rust", '#[path = "x.rs"]\nmod y;\nuse a::{B, c};\nenum E { V(u8), W(Inner) }\nfn f() { g(); E::V(1); }\n', ["Inner", "g", "E::V"]),
+        ("bash", "if check; then run x; fi\nf() ( sub; )\nwhile read l; do eat; done\n", ["check", "run", "sub", "read", "eat"]),
+        ("python", "import importlib\nx = importlib.import_module('zz')\nfrom a import (b)\nf(1)\nclass (:\n", ["importlib.import_module", "f"]),
+    ],
+)
+def test_calls_are_calls_only(lang, body, calls):
+    assert facts(lang, body)[2] == calls
+
+
+def test_definitions_around_short_forms():
+    assert facts("swift", "import class UIKit.UIView\nfunc top() { go() }\n")[:2] == ([("UIKit.UIView", "external")], [("top", "function", True)])
+    assert facts("python", "x = importlib.import_module('zz')\nclass (:\n")[0] == [("zz", "external")]
+    spans = {n: sp for n, _, _, sp in X.extract_file("ruby", b"class K\n  def y = z\n  def w=(v)\n    v\n  end\nend\n").symbols}
+    assert spans["K"][2] == 6 and spans["y"][2] == 2 and spans["w="][2] == 5
+    assert X.extract_file("bash", b"f() (\n  sub\n)\necho x\n").symbols[0][3][2] == 3
+
+
 def test_javascript_facts():
     imports, syms, calls = facts("typescript", "import a, { b } from './a';\nimport './side';\nexport * from './re';\nconst d = await import('./dyn');\n// import no from 'no'\nexport abstract class K extends Base { private run(x: Item): void { this.go(x); } }\nexport const f = async (x: number) => x + 1;\nconst g = function () {};\ninterface I {}\nconst s = \"import q from 'q'\"; const re = /'import'/g;\n")
     assert imports == [("./a", "local"), ("./side", "local"), ("./re", "local"), ("./dyn", "local")]
@@ -374,3 +403,11 @@ def test_entry_and_registered_queries(spark):
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
     assert os.path.exists("bench.py")
+
+
+def test_repository_keys_stay_text(spark, tmp_path):
+    rows = [("007", "a.py", 8, 1, bytearray(b"import b\n")), ("7", "b.py", 6, 1, bytearray(b"x = 1\n"))]
+    files = scan.supported(spark.createDataFrame(rows, SOURCES))
+    first = store.update(spark, files, None, str(tmp_path / "one"))
+    again = store.update(spark, files, str(tmp_path / "one"), str(tmp_path / "two"))
+    assert {r.repo for r in first.collect()} == {r.repo for r in again.collect()} == {"007", "7"}
