@@ -83,7 +83,8 @@ def callee_keys(callee: Column) -> Column:
     cut = lambda mark: F.transform(
         F.sequence(F.lit(1), F.size(F.split(callee, mark))), lambda i: F.array_join(F.slice(F.split(callee, mark), i, 2**20), mark.replace("\\", ""))
     )
-    return F.array_distinct(F.concat(F.array(callee), cut(r"\."), cut("::")))
+    plain = ~(F.contains(callee, F.lit(".")) | F.contains(callee, F.lit("::")))  # stands for itself only
+    return F.when(plain, F.array(callee)).otherwise(F.array_distinct(F.concat(F.array(callee), cut(r"\."), cut("::"))))
 
 
 def parse_slice_spec(spec: str) -> tuple[str, int | None, int | None]:

@@ -32,10 +32,15 @@ def matching_calls(calls: DataFrame, name: str | Column) -> DataFrame:
     return calls.where(text.callee_matches(F.col("callee_raw"), name))
 
 
-def calls_by_symbol(calls: DataFrame, names: DataFrame) -> DataFrame:
-    """Calls of many names at once, as an equi-join on the names that each call can stand for. names: (repo, name)."""
-    keyed = calls.withColumn("name", F.explode(text.callee_keys(F.col("callee_raw"))))
-    return keyed.join(names, ["repo", "name"])
+def call_counts(calls: DataFrame, names: DataFrame) -> DataFrame:
+    """(repo, path, name, n): how often each file calls each of many names; names: (repo, name).
+
+    Calls are counted by file and callee first, which takes the weight off common callees before they meet the names.
+    """
+    counts = calls.groupBy("repo", "path", "callee_raw").agg(F.count("*").alias("n"))
+    keyed = counts.select("repo", "path", F.explode(text.callee_keys(F.col("callee_raw"))).alias("name"), "n")
+    wanted = names.select("repo", "name").distinct()
+    return keyed.join(wanted, ["repo", "name"], "left_semi").groupBy("repo", "path", "name").agg(F.sum("n").alias("n"))
 
 
 def reference_scope(edges: DataFrame, defined_in: str) -> DataFrame:
@@ -60,16 +65,16 @@ def references(symbols: DataFrame, calls: DataFrame, lines: DataFrame, edges: Da
 
 
 def dead_verdict(definition_rows: DataFrame, call_rows: DataFrame) -> DataFrame:
-    """definition_rows: (repo, name, path); call_rows: (repo, name, path) of matching calls. One verdict per defined name.
+    """definition_rows: (repo, name, path); call_rows: (repo, name, path, n) of matching calls. One verdict per defined name.
 
     Calls inside a defining file are its own; from elsewhere they keep the symbol alive, unless several definitions
     make it unclear which one.
     """
     homes = definition_rows.select("repo", "name", "path").distinct().withColumn("own", F.lit(1))
     split = call_rows.join(homes, ["repo", "name", "path"], "left")
-    uses = split.groupBy("repo", "name").agg(F.count("own").alias("self_refs"), F.count(F.when(F.col("own").isNull(), 1)).alias("cross_refs"))
+    uses = split.groupBy("repo", "name").agg(F.sum(F.when(F.col("own").isNotNull(), F.col("n"))).alias("self_refs"), F.sum(F.when(F.col("own").isNull(), F.col("n"))).alias("cross_refs"))
     defs = definition_rows.groupBy("repo", "name").agg(F.count("*").alias("definitions"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     rows = defs.join(uses, ["repo", "name"], "left").select("repo", "name", "definitions", zero("self_refs").alias("self_refs"), zero("cross_refs").alias("cross_refs"))
     status = (
         F.when((F.col("cross_refs") > 0) & (F.col("definitions") > 1), "ambiguous")
@@ -88,7 +93,7 @@ def dead(symbols: DataFrame, calls: DataFrame, edges: DataFrame, name: str, defi
     if defined_in is not None:
         hits = hits.join(reference_scope(edges, defined_in), ["repo", "path"], "left_semi")
     named = F.lit(name).alias("name")
-    found = dead_verdict(definitions(symbols, name, defined_in).select("repo", named, "path"), hits.select("repo", named, "path"))
+    found = dead_verdict(definitions(symbols, name, defined_in).select("repo", named, "path"), hits.groupBy("repo", "path").agg(F.count("*").alias("n")).select("repo", named, "path", "n"))
     missing = symbols.select("repo").distinct().join(found.select("repo"), "repo", "left_anti")
     absent = missing.select("repo", named, F.lit(0).alias("definitions"), F.lit(0).alias("self_refs"), F.lit(0).alias("cross_refs"), F.lit("not_found").alias("status"), F.lit(None).cast("boolean").alias("dead"))
     return found.unionByName(absent)

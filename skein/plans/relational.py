@@ -507,15 +507,14 @@ SELECT *, CASE WHEN cross_refs > 0 AND definitions > 1 THEN 'ambiguous' WHEN cro
   CASE WHEN cross_refs > 0 AND definitions > 1 THEN NULL ELSE cross_refs = 0 END AS dead FROM z""")
 def dead_q12(spark, d):
     defs, calls = p5_words(spark, d)
-    hits = symbols.calls_by_symbol(calls, defs.select("repo", "name").distinct())
-    return symbols.dead_verdict(defs, hits.select("repo", "name", "path"))
+    return symbols.dead_verdict(defs, symbols.call_counts(calls, defs))
 
 
 @query(_WORDS + "SELECT repo, name, count(*) AS refs, count(DISTINCT path) AS files FROM hits GROUP BY repo, name")
 def refs_q11(spark, d):
     defs, calls = p5_words(spark, d)
-    hits = symbols.calls_by_symbol(calls, defs.select("repo", "name").distinct())
-    return hits.groupBy("repo", "name").agg(F.count("*").alias("refs"), F.count_distinct("path").alias("files"))
+    hits = symbols.call_counts(calls, defs)
+    return hits.groupBy("repo", "name").agg(F.sum("n").alias("refs"), F.count("*").alias("files"))
 
 
 @query(_WORDS + """SELECT repo, path, name FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY string_split(path, '/')) AS k FROM defs WHERE name = 'The') WHERE k = 1""")
