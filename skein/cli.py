@@ -199,6 +199,9 @@ def _run(a, w: commands.Workspace, root: str) -> int:
         out(rows, [r["body"] if r["body"] is not None else f"also: {r['path']}:{r['line']}" for r in rows])
         return 0
     g = w.graph()
+    passed_over = scan.skipped_summary(_rows(g.skipped.drop("repo").orderBy(F.desc("count"), "group")))
+    if passed_over:
+        print(passed_over, file=sys.stderr)
     if a.command == "graph":
         if js:
             print(render.json_documents(g, a.symbols).first()["document"])
@@ -225,6 +228,11 @@ def _run(a, w: commands.Workspace, root: str) -> int:
             return 1
         broken = [{"rule": x.rule, "from": x.src, "to": x.dst, "severity": x.severity} for x in r.violations.orderBy("rule", "src", "dst").collect()]
         value = {"ok": r.ok(), "cycles": [x["members"] for x in r.cycles.orderBy("scc_id").collect()], "orphans": _paths(r.orphans), "rule_violations": broken, "suppressed": r.suppressed}
+        dead = _rows(r.dead_rules.orderBy("rule"))
+        value["dead_rules"] = dead
+        for x in dead:
+            ends = " and ".join(f"{side!r}" for side, n in ((x["from_pattern"], x["from_matches"]), (x["to_pattern"], x["to_matches"])) if not n)
+            print(f"warning: rule {x['rule']}: {ends} matches no file of an edge", file=sys.stderr)
         if r.syntax_errors is not None:
             value["syntax_errors"] = [{"file": x.path, "message": x.message, "line": x.span.start_line, "column": x.span.start_col} for x in r.syntax_errors.orderBy("path", "span").collect()]
         out(value, [f"cycle: {' -> '.join([*c, c[0]])}" for c in value["cycles"]] + [f"{x['severity']}: {x['rule']}: {x['from']} -> {x['to']}" for x in broken] + [f"orphan: {p}" for p in value["orphans"]] + ["ok" if value["ok"] else "failed"])

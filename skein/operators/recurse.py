@@ -16,11 +16,14 @@ _own: str | None = None
 
 
 def _folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share; a temporary one only where the session names none and the master is local."""
     global _own
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _own is None:
         _own = tempfile.mkdtemp(prefix="skein-rounds-")
     return _own
@@ -96,13 +99,15 @@ def bounded_closure_sql(spark: SparkSession, edges: DataFrame, path: str, max_de
     """Reverse reachability of small known depth as one recursive query."""
     view = f"edges_{uuid.uuid4().hex}"
     edges.createOrReplaceTempView(view)
-    return spark.sql(
+    found = spark.sql(
         f"""WITH RECURSIVE up (repo, path, depth) AS (
               SELECT repo, src, 1 FROM {view} WHERE dst = :start
               UNION ALL SELECT e.repo, e.src, u.depth + 1 FROM {view} e JOIN up u ON e.repo = u.repo AND e.dst = u.path WHERE u.depth < :depth)
             SELECT repo, path, min(depth) AS depth FROM up WHERE path <> :start GROUP BY repo, path""",
         args={"start": path, "depth": max_depth},
     )
+    spark.catalog.dropTempView(view)  # the plan has it by now
+    return found
 
 
 def shortest_path(edges: DataFrame, start: str, end: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.extract import facts
+from ..operators.store import read_facts
 from ..schema import SOURCES
 from ..sources import scan
 
@@ -36,6 +37,6 @@ def start(spark: SparkSession, drops: str, store: str, checkpoint: str, once: bo
 
 def current_facts(spark: SparkSession, store: str) -> DataFrame:
     """Facts of the latest version of every file over all batches."""
-    rows = spark.read.parquet(store)
+    rows = read_facts(spark, store)
     newest = rows.groupBy("repo", "path").agg(F.max(F.struct("mtime_ns", "batch")).alias("v")).select("repo", "path", "v.mtime_ns", "v.batch")
     return rows.join(newest, ["repo", "path", "mtime_ns", "batch"], "left_semi").drop("batch")
