@@ -1,6 +1,7 @@
 """Small source trees in every language, as tables: what the extraction and resolution queries run on.
 
-The expected rows of the literal queries are written out by hand; they are no independent oracle.
+The expected rows of the literal queries are written out by hand, those of CALLS read off the extractor and checked
+against the sources by eye; they are no independent oracle.
 """
 
 from __future__ import annotations
