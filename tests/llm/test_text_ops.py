@@ -286,6 +286,57 @@ def test_op4_decoding_and_additions(spark, empty):
     assert pii.find(empty, pii.train(empty)).count() == 0
 
 
+def test_op4_marginals_of_many_groups():
+    rng = np.random.default_rng(6)
+    for n in (1, 3, 7):
+        scores, before = rng.normal(0, 2, (20, n)), np.array([[int(rng.integers(0, k + 1)) for k in range(n)] for _ in range(20)])
+        want = [pii.segment_marginals(s, b.tolist()) for s, b in zip(scores, before, strict=True)]
+        assert np.allclose(pii.segment_marginals_of(scores, before), want)
+
+
+def test_op4_recall_on_planted_spans():
+    """Loose spans and secrets at known places, in writing that the training texts share only in part, and texts that hold none."""
+    rng = np.random.default_rng(11)
+    pick = lambda letters, n: "".join(rng.choice(list(letters), n))
+    low, digits, hexes = "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
+    words = "the of and river house seven over under walked spoke quiet morning letter stone about between again".split()
+    prose = lambda n: " ".join(rng.choice(words, n))
+    weights = pii.fit([])
+    hits = total = exact = false = 0
+    for k in range(600):
+        n10 = f"{rng.integers(2, 10)}{pick(digits, 9)}"
+        card = "5" + pick(digits, 14)
+        card += next(c for c in digits if pii.luhn(card + c))
+        ip = [str(x) for x in rng.integers(1, 256, 4)]
+        lead, kind, body, close = [
+            ("", "email", f"{pick(low, 6)} [at] {pick(low, 7)}.com", ""), ("", "email", f"{pick(low, 4)}.{pick(low, 5)}(at){pick(low, 7)}(dot)org", ""), ("", "email", f"{pick(low, 6)} @ {pick(low, 7)}.net", ""),
+            ("", "phone", f"({n10[:3]}) {n10[3:6]}-{n10[6:]}", ""), ("", "phone", f"{n10[:3]}-{n10[3:6]}-{n10[6:]}", ""), ("", "ip", "[.]".join(ip), ""), ("", "card", ".".join(card[i : i + 4] for i in range(0, 16, 4)), ""),
+            ("db_password = '", "secret", pick(low + digits, 11) + "7", "'"), ("", "secret", "AKIA" + pick("ABCDEFGH234567", 16), ""), ("SESSION_KEY: ", "secret", pick(hexes, 31) + "e", ""), ('token="', "secret", pick(hexes, 40), '"'),
+        ][k % 11]
+        left = f"{prose(8)} {lead}"
+        text = f"{left}{body}{close} {prose(8)}"
+        got = pii.added_spans(text, pii.base_spans(text), weights)
+        total += 1
+        hits += any(a < len(left) + len(body) and b > len(left) for _, a, b in got)
+        exact += (pii.ALL_KINDS.index(kind), len(left), len(left) + len(body)) in got
+        plain = f"{prose(6)} {rng.integers(1900, 2030)}-{rng.integers(10, 13)}-{rng.integers(10, 28)} {prose(3)} page {rng.integers(1, 900)} to {rng.integers(1, 900)} {prose(3)} v{rng.integers(1, 9)}.{rng.integers(1, 30)}.{rng.integers(1, 30)} {pick(low, 12)}{k} key to {prose(4)}"
+        false += bool(pii.added_spans(plain, pii.base_spans(plain), weights))
+    assert hits >= 0.95 * total and exact >= 0.9 * total, (hits, exact, total)
+    assert false <= 0.02 * total, false
+
+
+def test_op4_long_texts_and_edges(spark):
+    weights = pii.fit([])
+    long = "1 " * 20_000 + "a" * 20_000 + "1" * 20_000 + "at x dot " * 5000 + "@" * 10_000 + "a1" * 10_000 + "[dot]" * 2000 + " 1234" * 2000
+    before = pii.base_spans(long)
+    assert all(b <= c or d <= a for _, a, b in pii.added_spans(long, before, weights) for _, c, d in before)
+    assert pii.added_spans("", [], weights) == [] and list(pii.places("")) == []
+    text = "x " * 500 + "bob@a.com " + "y " * 500 + "10.0.0.1"
+    assert [pii.base_spans(p)[0][0] for p in pii.places(text)] == [0, 1]
+    docs = spark.createDataFrame([(1, "key = 'a1b2c3d4e5f6a7b8'", 5, "z")] * 2, "doc_id long, text string, n_spans int, place string")
+    assert [(r.n_secret, r.n_spans, r.spans) for r in pii.find(docs, pii.train(docs)).collect()] == [(1, 1, "secret:7:23")] * 2
+
+
 # --- 7: repeated line runs
 
 
