@@ -29,7 +29,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(doc_id.alias("doc_id"), lm.held_out(doc_id, 4).alias("held_out"), F.col("text").cast("string").alias("text"))
     scored = toxicity.score(rows, toxicity.train(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans"))
+    offsets = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s[0], s[1])), ",")
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans"), offsets.alias("spans"))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

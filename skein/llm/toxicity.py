@@ -9,7 +9,8 @@ A document's score is a logistic function of its tokens' marginals: their sum,
 their maximum and their share, fitted on the same documents.
 
 Training uses at most MAX_DOCS labelled documents, those with the smallest id
-hash; scoring covers every whole text. Forward and backward passes run over all
+hash, and of a document with over PLACES marked tokens PLACES to twice as many,
+evenly spread over its whole length; scoring covers every whole text. Forward and backward passes run over all
 tokens of a slice at once, as products of the chain's 2 x 2 steps.
 
 Null and empty texts have no tokens and score what the fit gives for none;
@@ -33,7 +34,7 @@ from .lm import held_out
 
 MAX_DOCS, WINDOW, BLOCK, SLICE_BYTES = 4000, 8, 64, 1_500_000
 MIN_DOCS, MIN_Z, MIN_ODDS, PRIOR = 5, 3.0, 3.0, 0.5
-THRESHOLD = 0.3
+THRESHOLD, PLACES = 0.3, 20
 
 
 @dataclass
@@ -208,10 +209,9 @@ def fit(texts: list[str | None], toxic: list[int]) -> Tagger | None:
         if not s:
             continue
         at = [i for i, w in enumerate(s) if w in marked]
-        if label:
-            centres = at[:: max(1, len(at) // 20)]
-        else:
-            centres = at[:20] + [(k * 7919 + j * 104729) % len(s) for j in range(3)]
+        centres = at[:: max(1, len(at) // PLACES)]
+        if not label:
+            centres += [(k * 7919 + j * 104729) % len(s) for j in range(3)]
         for c in centres:
             own = s[max(0, c - WINDOW) : c + WINDOW + 1]
             ids.append([vocab.get(w, 0) for w in own] + [0] * (width - len(own)))

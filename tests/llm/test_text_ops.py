@@ -333,6 +333,9 @@ def test_op4_long_texts_and_edges(spark):
     assert pii.added_spans("", [], weights) == [] and list(pii.places("")) == []
     text = "x " * 500 + "bob@a.com " + "y " * 500 + "10.0.0.1"
     assert [pii.base_spans(p)[0][0] for p in pii.places(text)] == [0, 1]
+    many = spark.range(300).selectExpr("concat('call +1 555 ', 1000000 + id) AS text", "id AS doc_id")
+    few = pii.train(many, max_places=20)  # a share of the windows by hash
+    assert np.array_equal(few, pii.train(many.repartition(7), max_places=20)) and few.any()
     docs = spark.createDataFrame([(1, "key = 'a1b2c3d4e5f6a7b8'", 5, "z")] * 2, "doc_id long, text string, n_spans int, place string")
     assert [(r.n_secret, r.n_spans, r.spans) for r in pii.find(docs, pii.train(docs)).collect()] == [(1, 1, "secret:7:23")] * 2
 
