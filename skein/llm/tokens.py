@@ -3,10 +3,12 @@
 Two kinds of vocabulary split a text before merging so that a single space
 between two non-space characters is always a boundary: the space belongs to what
 follows it (byte level) or to nothing (words of one case). So a piece's ids don't
-depend on its neighbours, and a worker keeps the ids of pieces that it has met. A
-new piece of plain Latin text is cut into words by the vocabulary's own pattern
-and each new word goes to the library's merging model; any other piece goes
-through the library's whole chain. Which kind a file is, is read from the file;
+depend on its neighbours, and a worker keeps the ids of pieces that it has met.
+Arrow cuts a slice of texts and finds its distinct pieces, and their ids are put
+back by position, so Python handles a piece once a slice. A new piece of plain
+Latin text is cut into words by the vocabulary's own pattern and each new word
+goes to the library's merging model; any other piece goes through the library's
+whole chain. Which kind a file is, is read from the file;
 with a file of any other kind whole texts go to the library.
 """
 
@@ -16,6 +18,10 @@ import gc
 import json
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from .common import keeps
 
 _TWO_SPACES = re.compile(r"\s\s")
@@ -82,79 +88,107 @@ class PieceEncoder:
         self.merge = self.tokenizer.model.tokenize
         self.ids = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
-    def pieces(self, text: str) -> list[str]:
-        """What to encode alone; pieces after the first keep their leading space where spaces count."""
-        if not self.spaces_count:
-            return text.split(" ")
-        odd = text[:1].isspace() or text[-1:].isspace() or _TWO_SPACES.search(text)
-        parts = _SPLIT.split(text) if odd else text.split(" ")
-        return parts[:1] + [" " + p for p in parts[1:]]
+    def split(self, texts: list[str]):
+        """(which, pieces, starts): the pieces of all texts in the order `which`, and where each text's begin; the space before a piece is left out."""
+        plain, odd = list(range(len(texts))), []
+        if self.spaces_count:
+            odd = [i for i, t in enumerate(texts) if t[:1].isspace() or t[-1:].isspace() or _TWO_SPACES.search(t)]
+            kept = set(odd)
+            plain = [i for i in plain if i not in kept]
+        cut = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+        parts = [_SPLIT.split(texts[i]) for i in odd]
+        pieces = pa.concat_arrays([cut.flatten(), pa.array([p for some in parts for p in some], pa.large_string())])
+        counts = np.concatenate([pc.list_value_length(cut).to_numpy(zero_copy_only=False), [len(some) for some in parts]]).astype(np.int64)
+        return plain + odd, pieces, np.cumsum(counts) - counts
 
     def word(self, word: str) -> bytes:
         """Ids of one word of the vocabulary's pattern."""
-        v = self.words.get(word) or self.old_words.get(word)
+        v = self.words.get(word)
         if v is None:
-            if word.isascii() and word[1:].isalpha():
-                letters = "\u0120" + word[1:] if word[0] == " " else word
-            else:
-                letters = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
-            ids = self.ids
-            v = b"".join([ids[t.id] for t in self.merge(letters)])
-        if len(word) <= self.LONGEST:
-            if len(self.words) >= self.KEEP:
-                self.old_words, self.words = self.words, {}
-            self.words[word] = v
+            v = self.old_words.get(word)
+            if v is None:
+                if word.isascii() and word[1:].isalpha():
+                    letters = "\u0120" + word[1:] if word[0] == " " else word
+                else:
+                    letters = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                ids = self.ids
+                v = b"".join([ids[t.id] for t in self.merge(letters)])
+            if len(word) <= self.LONGEST:
+                if len(self.words) >= self.KEEP:
+                    self.old_words, self.words = self.words, {}
+                self.words[word] = v
         return v
 
-    def learn(self, wanted: list[str]) -> dict[str, bytes]:
-        out, whole = {}, []
-        spaces, known, pattern = self.spaces_count, self.words, _BYTE_WORDS if self.spaces_count else _LOWER_WORDS
-        marks = {c: self.word(c) for c in ",.!?;:"}
+    def learn(self, wanted: list[str]) -> list[bytes]:
+        """Ids of pieces that no cache holds."""
+        out, whole = [], []
+        spaces, encode = self.spaces_count, self.word
+        pattern, plain, marks = _BYTE_WORDS if spaces else _LOWER_WORDS, _PLAIN.fullmatch, {c: encode(c) for c in ",.!?;:"}
         for piece in wanted:
             # the common case: letters, then at most one mark
             tail = marks.get(piece[-1:])
             word = piece[:-1] if tail else piece
-            if (word[1:] if spaces and word[:1] == " " else word).isalpha() and (word.isascii() or _PLAIN.fullmatch(word)):
-                if not spaces:
-                    word = word.lower()
-                v = known.get(word) or self.word(word)
-                out[piece] = v + tail if tail else v
-            elif "<|" in piece or not _PLAIN.fullmatch(piece):
-                whole.append(piece)
+            if (word[1:] if spaces and word[:1] == " " else word).isalpha() and (word.isascii() or plain(word)):
+                v = encode(word if spaces else word.lower())
+                out.append(v + tail if tail else v)
+            elif "<|" in piece or not plain(piece):
+                whole.append(len(out))
+                out.append(b"")
             else:
-                out[piece] = b"".join([self.word(w) for w in pattern.findall(piece if spaces else piece.lower())])
+                out.append(b"".join([encode(w) for w in pattern.findall(piece if spaces else piece.lower())]))
         if whole:
-            for piece, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
-                out[piece] = b"".join([self.ids[i] for i in e.ids])
+            for i, e in zip(whole, self.tokenizer.encode_batch_fast([wanted[i] for i in whole], add_special_tokens=False), strict=True):
+                out[i] = b"".join([self.ids[t] for t in e.ids])
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids; the cycle collector rests meanwhile, as nothing here makes cycles."""
         if self.kind is None:
             return [b"".join([self.ids[i] for i in e.ids]) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if not texts:
+            return []
         gc.disable()
         try:
             return self._encode(texts)
         finally:
             gc.enable()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.pieces(t) for t in texts]
+    def _values(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces, from the caches or learnt."""
         young, old = self.young, self.old
-        unknown = set().union(*split).difference(young)
-        extra = {}
-        if unknown:
-            moved = {p: old[p] for p in unknown if p in old}
-            fresh = self.learn([p for p in unknown if p not in moved])
-            extra = {p: v for p, v in fresh.items() if len(p) > self.LONGEST}
-            young.update(moved)
-            young.update((p, v) for p, v in fresh.items() if len(p) <= self.LONGEST)
-        if extra:
-            out = [b"".join([young[p] if p in young else extra[p] for p in parts]) for parts in split]
-        else:
-            out = [b"".join(map(young.__getitem__, parts)) for parts in split]
+        values = list(map(young.get, pieces))
+        fresh = []
+        for i in [i for i, v in enumerate(values) if v is None]:
+            piece = pieces[i]
+            v = old.get(piece)
+            if v is None:
+                fresh.append(i)
+            else:
+                values[i] = young[piece] = v
+        for i, v in zip(fresh, self.learn([pieces[i] for i in fresh]), strict=True):
+            values[i] = v
+            if len(pieces[i]) <= self.LONGEST:
+                young[pieces[i]] = v
         if len(young) > self.KEEP:
             self.old, self.young = young, {}
+        return values
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        which, pieces, starts = self.split(texts)
+        coded = pieces.dictionary_encode()
+        codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        if self.spaces_count:
+            # a text's first piece has no space before it
+            first, codes = pieces.take(pa.array(starts)).dictionary_encode(), codes.copy()
+            codes[starts] = first.indices.to_numpy() + len(distinct)
+            distinct = [" " + p for p in distinct] + first.dictionary.to_pylist()
+        found = pa.array(self._values(distinct), pa.large_binary()).take(pa.array(codes))
+        _, ends, ids = found.buffers()
+        ends, ids = np.frombuffer(ends, dtype=np.int64), memoryview(ids or b"")
+        cuts = ends[np.append(starts, len(codes))].tolist()
+        out = [b""] * len(texts)
+        for i, a, b in zip(which, cuts, cuts[1:], strict=False):
+            out[i] = bytes(ids[a:b])
         return out
 
 
