@@ -33,6 +33,10 @@ _LETTER, _DIGIT, _OTHER = r"[^\W\d_]", r"[0-9\xb2\xb3\xb9\xbc-\xbe]", r"(?:(?!\s
 _BYTE_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?{_LETTER}+| ?{_DIGIT}+| ?{_OTHER}+|\s+(?!\S)|\s+")
 _LOWER_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{_LETTER}+|{_DIGIT}|{_OTHER}+")
 
+#: A piece that is one word of ASCII letters and at most one of the marks, which every pattern above cuts off.
+_MARKS, _EASY = ",.!?;:", r"^ ?[A-Za-z]+[,.!?;:]?\z"
+_MARK_PLACE = np.array([_MARKS.find(chr(b)) + 1 for b in range(256)], dtype=np.int64)
+
 
 def _byte_letters() -> dict[int, str]:
     """Byte-level vocabularies write a byte as itself if it is printable in Latin-1, else as the next free code point from 256."""
@@ -72,8 +76,8 @@ def kind_of(path: str) -> str | None:
 class PieceEncoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers."""
 
-    #: Pieces and words kept in each of two generations, and the longest that is kept.
-    KEEP, LONGEST = 200_000, 64
+    #: Words and other pieces kept in each of two generations, and the longest that is kept.
+    WORDS, PIECES, LONGEST = 350_000, 100_000, 64
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -114,7 +118,7 @@ class PieceEncoder:
                 ids = self.ids
                 v = b"".join([ids[t.id] for t in self.merge(letters)])
             if len(word) <= self.LONGEST:
-                if len(self.words) >= self.KEEP:
+                if len(self.words) >= self.WORDS:
                     self.old_words, self.words = self.words, {}
                 self.words[word] = v
         return v
@@ -153,7 +157,14 @@ class PieceEncoder:
         finally:
             gc.enable()
 
-    def _values(self, pieces: list[str]) -> list[bytes]:
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, from the caches or merged."""
+        values = list(map(self.words.get, words))
+        for i in [i for i, v in enumerate(values) if v is None]:
+            values[i] = self.word(words[i])
+        return values
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of distinct pieces, from the caches or learnt."""
         young, old = self.young, self.old
         values = list(map(young.get, pieces))
@@ -169,20 +180,42 @@ class PieceEncoder:
             values[i] = v
             if len(pieces[i]) <= self.LONGEST:
                 young[pieces[i]] = v
-        if len(young) > self.KEEP:
+        if len(young) > self.PIECES:
             self.old, self.young = young, {}
         return values
 
+    def _values(self, pieces):
+        """(ids, place): ids of distinct pieces in an order of their own, and each piece's place there."""
+        easy = pc.match_substring_regex(pieces, _EASY)
+        flags = easy.to_numpy(zero_copy_only=False)
+        # ASCII letters, then at most one mark: the words, and the marks' ids behind them
+        simple = pieces.filter(easy)
+        found = pa.array([], pa.large_binary())
+        if len(simple):
+            _, ends, letters = simple.buffers()
+            last = np.frombuffer(letters, dtype=np.uint8)[np.frombuffer(ends, dtype=np.int64)[1 : len(simple) + 1] - 1]
+            tail = pa.array([b"", *(self.word(c) for c in _MARKS)], pa.large_binary()).take(pa.array(_MARK_PLACE[last]))
+            words = pc.ascii_rtrim(simple, characters=_MARKS)
+            words = (words if self.spaces_count else pc.ascii_lower(words)).dictionary_encode()
+            ids = pa.array(self._words(words.dictionary.to_pylist()), pa.large_binary()).take(words.indices)
+            found = pc.binary_join_element_wise(ids, tail, pa.scalar(b"", pa.large_binary()))
+        rest = pa.array(self._pieces(pieces.filter(pc.invert(easy)).to_pylist()), pa.large_binary())
+        place = np.empty(len(pieces), dtype=np.int64)
+        place[flags], place[~flags] = np.arange(len(found)), np.arange(len(found), len(pieces))
+        return pa.concat_arrays([found, rest]), place
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         which, pieces, starts = self.split(texts)
         coded = pieces.dictionary_encode()
-        codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        codes, distinct = coded.indices.to_numpy(), coded.dictionary
         if self.spaces_count:
             # a text's first piece has no space before it
             first, codes = pieces.take(pa.array(starts)).dictionary_encode(), codes.copy()
             codes[starts] = first.indices.to_numpy() + len(distinct)
-            distinct = [" " + p for p in distinct] + first.dictionary.to_pylist()
-        found = pa.array(self._values(distinct), pa.large_binary()).take(pa.array(codes))
+            spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), distinct, pa.scalar("", pa.large_string()))
+            distinct = pa.concat_arrays([spaced, first.dictionary])
+        values, place = self._values(distinct)
+        found = values.take(pa.array(place[codes]))
         _, ends, ids = found.buffers()
         ends, ids = np.frombuffer(ends, dtype=np.int64), memoryview(ids or b"")
         cuts = ends[np.append(starts, len(codes))].tolist()
