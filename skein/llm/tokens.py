@@ -33,8 +33,8 @@ _LETTER, _DIGIT, _OTHER = r"[^\W\d_]", r"[0-9\xb2\xb3\xb9\xbc-\xbe]", r"(?:(?!\s
 _BYTE_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?{_LETTER}+| ?{_DIGIT}+| ?{_OTHER}+|\s+(?!\S)|\s+")
 _LOWER_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{_LETTER}+|{_DIGIT}|{_OTHER}+")
 
-#: A piece that is one word of ASCII letters and at most one of the marks, which every pattern above cuts off.
-_MARKS, _EASY = ",.!?;:", r"^ ?[A-Za-z]+[,.!?;:]?\z"
+#: A piece that is one word of Latin-1 letters and at most one of the marks, which every pattern above cuts off.
+_MARKS, _EASY = ",.!?;:", r"^ ?[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+[,.!?;:]?\z"
 _MARK_PLACE = np.array([_MARKS.find(chr(b)) + 1 for b in range(256)], dtype=np.int64)
 
 
@@ -188,15 +188,15 @@ class PieceEncoder:
         """(ids, place): ids of distinct pieces in an order of their own, and each piece's place there."""
         easy = pc.match_substring_regex(pieces, _EASY)
         flags = easy.to_numpy(zero_copy_only=False)
-        # ASCII letters, then at most one mark: the words, and the marks' ids behind them
+        # letters, then at most one mark: the words, and the marks' ids behind them
         simple = pieces.filter(easy)
         found = pa.array([], pa.large_binary())
         if len(simple):
             _, ends, letters = simple.buffers()
             last = np.frombuffer(letters, dtype=np.uint8)[np.frombuffer(ends, dtype=np.int64)[1 : len(simple) + 1] - 1]
             tail = pa.array([b"", *(self.word(c) for c in _MARKS)], pa.large_binary()).take(pa.array(_MARK_PLACE[last]))
-            words = pc.ascii_rtrim(simple, characters=_MARKS)
-            words = (words if self.spaces_count else pc.ascii_lower(words)).dictionary_encode()
+            words = pc.utf8_rtrim(simple, characters=_MARKS)
+            words = (words if self.spaces_count else pc.utf8_lower(words)).dictionary_encode()
             ids = pa.array(self._words(words.dictionary.to_pylist()), pa.large_binary()).take(words.indices)
             found = pc.binary_join_element_wise(ids, tail, pa.scalar(b"", pa.large_binary()))
         rest = pa.array(self._pieces(pieces.filter(pc.invert(easy)).to_pylist()), pa.large_binary())
