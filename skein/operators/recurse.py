@@ -95,17 +95,24 @@ def closure_doubling(edges: DataFrame) -> DataFrame:
         size = new
 
 
+#: Levels up to which reverse reachability is one SQL statement: level n holds those before it, so the plan has n * (n + 1) / 2 joins.
+SQL_LEVELS = 6
+
+
 def bounded_closure_sql(spark: SparkSession, edges: DataFrame, path: str, max_depth: int) -> DataFrame:
-    """Reverse reachability of small known depth as one recursive query."""
+    """Reverse reachability of small known depth as one query, a common table for each level; deeper ones take the loop.
+
+    Not WITH RECURSIVE: that can't be distinct in Spark, so it counts every route, and it ends at a million rows.
+    """
+    if not 0 < max_depth <= SQL_LEVELS:
+        return dependents_with_depth(edges, path, max_depth)
     view = f"edges_{uuid.uuid4().hex}"
     edges.createOrReplaceTempView(view)
-    found = spark.sql(
-        f"""WITH RECURSIVE up (repo, path, depth) AS (
-              SELECT repo, src, 1 FROM {view} WHERE dst = :start
-              UNION ALL SELECT e.repo, e.src, u.depth + 1 FROM {view} e JOIN up u ON e.repo = u.repo AND e.dst = u.path WHERE u.depth < :depth)
-            SELECT repo, path, min(depth) AS depth FROM up WHERE path <> :start GROUP BY repo, path""",
-        args={"start": path, "depth": max_depth},
-    )
+    levels = [f"up1 AS (SELECT DISTINCT repo, src AS path FROM {view} WHERE dst = :start)"]
+    for n in range(2, max_depth + 1):
+        levels.append(f"up{n} AS (SELECT DISTINCT e.repo, e.src AS path FROM {view} e JOIN up{n - 1} u ON e.repo = u.repo AND e.dst = u.path)")
+    every = " UNION ALL ".join(f"SELECT repo, path, {n} AS depth FROM up{n}" for n in range(1, max_depth + 1))
+    found = spark.sql(f"WITH {', '.join(levels)} SELECT repo, path, min(depth) AS depth FROM ({every}) WHERE path <> :start GROUP BY repo, path", args={"start": path})
     spark.catalog.dropTempView(view)  # the plan has it by now
     return found
 

@@ -331,6 +331,19 @@ def test_random_graphs_against_plain_recursion(spark):
     assert recurse.shortest_path(edges, start, start).first()["route"] == [start]
 
 
+def test_bounded_closure_counts_nodes_not_routes(spark):
+    names = [f"{layer}{i}" for layer in "abc" for i in range(101)]
+    pairs = [(n, "end") for n in names[:101]] + [(x, y) for k in (0, 101) for x in names[k + 101 : k + 202] for y in names[k : k + 101]]
+    pairs += [("a0", "c0"), ("end", "a1")]  # cycles
+    pairs += [(f"t{i + 1}", f"t{i}") for i in range(9)] + [("t0", "c0")]
+    edges = spark.createDataFrame([("r", a, b, "local") for a, b in pairs], "repo string, src string, dst string, kind string")
+    found = lambda depth: {r.path: r.depth for r in recurse.bounded_closure_sql(spark, edges, "end", depth).collect()}
+    want = {n: 1 + i // 101 for i, n in enumerate(names)}  # more than a million routes of three edges
+    assert found(3) == want
+    assert found(2) == {n: d for n, d in want.items() if d < 3} and found(0) == {}
+    assert found(12) == want | {f"t{i}": i + 4 for i in range(9)}
+
+
 def test_structural_entries(spark):
     tree = {
         "index.html": '<script src="/src/boot.ts?x"></script>', "package.json": '{"scripts": {"b": "node scripts/build.ts"}}', "src/boot.ts": "", "scripts/build.ts": "", "lonely.ts": "",
