@@ -1,7 +1,7 @@
 """Benchmark decontamination with an FM-index per training shard (operator 5).
 
-A worker turns each shard of documents (a few million characters) into word ids
-of the benchmark's vocabulary. Only runs of benchmark words as long as the
+A worker turns each shard of documents (SHARD_BYTES of text) into word ids of
+the benchmark's vocabulary, a document at a time. Only runs of benchmark words as long as the
 shortest window can hold an occurrence, so the shard's index covers exactly
 those runs, each closed by a separator. It has a suffix array, its
 Burrows-Wheeler transform in a wavelet matrix, and sampled suffix positions; all
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import lean, text_slices
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-WIDTH, SHARD_BYTES, SAMPLE, BLOCK_BYTES = 10, 8_000_000, 8, 32_000_000
+WIDTH, SHARD_BYTES, SAMPLE, BLOCK_BYTES = 10, 2_000_000, 8, 32_000_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -137,14 +137,24 @@ class FMIndex:
         return which, self.positions[at] + steps
 
 
-def search(docs: list[list[bytes]], phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A flag per word of the concatenated documents, and the distinct (document, item number) pairs."""
-    sizes = np.array([len(d) for d in docs], dtype=np.int64)
-    total, get = int(sizes.sum()), phrases.vocab.get
+def coded(texts: list[str | None], blocks: list[Phrases]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Each text's number of words, and for each block all words' ids in its vocabulary (0: unknown); only one text's words are Python objects at a time."""
+    sizes, ids = np.zeros(len(texts), dtype=np.int64), [[] for _ in blocks]
+    for i, text in enumerate(texts):
+        own = words(text)
+        sizes[i] = len(own)
+        for out, phrases in zip(ids, blocks, strict=True):
+            get = phrases.vocab.get
+            out.append(np.fromiter((get(w, 0) for w in own), dtype=np.int32, count=len(own)))
+    return sizes, [np.concatenate([np.zeros(0, dtype=np.int32), *out]) for out in ids]
+
+
+def search(sizes: np.ndarray, ids: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A flag per word of the concatenated documents, and the distinct (document, item number) pairs; sizes, ids: from coded()."""
+    total = len(ids)
     none = np.zeros(0, dtype=np.int64)
     if not total or not phrases.shortest:
         return np.zeros(total, dtype=bool), none, none
-    ids = np.fromiter((get(w, 0) for d in docs for w in d), dtype=np.int32, count=total)
     ends = np.cumsum(sizes)
     doc_of_start = np.zeros(total, dtype=bool)
     doc_of_start[(ends - sizes)[sizes > 0]] = True
@@ -165,6 +175,7 @@ def search(docs: list[list[bytes]], phrases: Phrases) -> tuple[np.ndarray, np.nd
     text[at] = ids[place]
     back = np.zeros(len(text), dtype=np.int64)
     back[at] = place
+    del ids, doc_of_start, known, opens, run, lengths, keep, place, new, at
     index = FMIndex(text, len(phrases.vocab))
     edge = np.zeros(total + 1, dtype=np.int64)
     pairs = []
@@ -196,34 +207,33 @@ def phrase_blocks(benchmark: DataFrame, width: int = WIDTH, block_bytes: int = B
 
 
 def _scan(batches, blocks, text_at: int, give):
-    """Calls give(batch slice, documents' words, flags, per-document item names) for each shard."""
+    """Calls give(batch slice, texts, documents' numbers of words, flags, per-document item names) for each shard."""
     import pyarrow as pa
 
     for batch in batches:
         for i, texts in text_slices(batch, text_at, SHARD_BYTES):
-            docs = [words(t) for t in texts]
-            flags = np.zeros(sum(map(len, docs)), dtype=bool)
+            sizes, coded_texts = coded(texts, [block.value for block in blocks])
+            flags = np.zeros(int(sizes.sum()), dtype=bool)
             items: dict[int, set[str]] = {}
-            for block in blocks:
+            for block, ids in zip(blocks, coded_texts, strict=True):
                 phrases = block.value
-                hit, doc, item = search(docs, phrases)
+                hit, doc, item = search(sizes, ids, phrases)
                 flags |= hit
                 for d, k in zip(doc.tolist(), item.tolist(), strict=True):
                     items.setdefault(d, set()).add(phrases.names[k])
-            yield give(pa, batch.slice(i, len(texts)), texts, docs, flags, items)
+            yield give(pa, batch.slice(i, len(texts)), texts, sizes, flags, items)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, items (ids as sorted strings) and spans (first and last word of each hit run)."""
     blocks = phrase_blocks(benchmark, width)
 
-    def give(pa, batch, _, docs, flags, items):
-        sizes = np.array([len(d) for d in docs], dtype=np.int64)
+    def give(pa, batch, _, sizes, flags, items):
         ends = np.cumsum(sizes)
         total = np.concatenate([[0], np.cumsum(flags)])
         hits = total[ends] - total[ends - sizes]
         spans = []
-        for k in range(len(docs)):
+        for k in range(len(sizes)):
             if not hits[k]:
                 spans.append([])
                 continue
@@ -235,7 +245,7 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame
                 batch.column(0),
                 pa.array(sizes, pa.int64()),
                 pa.array(hits, pa.int64()),
-                pa.array([sorted(items.get(k, ())) for k in range(len(docs))], pa.list_(pa.string())),
+                pa.array([sorted(items.get(k, ())) for k in range(len(sizes))], pa.list_(pa.string())),
                 pa.array(spans, pa.list_(pa.list_(pa.int32()))),
             ],
             names=["doc_id", "n_words", "n_hit", "items", "spans"],
@@ -250,10 +260,10 @@ def remove(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFra
     blocks = phrase_blocks(benchmark, width)
     at = docs.columns.index("text")
 
-    def give(pa, batch, texts, docs, flags, items):
+    def give(pa, batch, texts, sizes, flags, items):
         end, out = 0, list(texts)
-        for k, own in enumerate(docs):
-            begin, end = end, end + len(own)
+        for k, n in enumerate(sizes.tolist()):
+            begin, end = end, end + n
             if k not in items and not flags[begin:end].any():
                 continue
             raw = texts[k].encode()

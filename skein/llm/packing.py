@@ -31,11 +31,13 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, save
+from .common import lean, save, text_slices
 
 CAPACITY = 2048
 #: Pieces of a shard: its rows are one frame where they take their places.
 SHARD_PIECES = 500_000
+#: Bytes of text that are Python strings and Arrow pieces at a time.
+SLICE_BYTES = 1_000_000
 #: A plan row: `times` bins from number `bin` on hold, `offset` ids from their start, the pieces of `length` with ranks from `first` on.
 PLAN = "length long, first long, times long, bin long, offset long"
 
@@ -133,15 +135,15 @@ def tokenize_pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> D
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from .tokens import encoder, slices
+        from .tokens import encoder
 
         enc, end = encoder(path), end_id.to_bytes(4, "little")
         shard, seen, held = TaskContext.get().partitionId() << 20, np.zeros(capacity + 1, dtype=np.int64), 0
         for batch in batches:
-            rows = list(zip(batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()], strict=True))
-            for part in slices(rows):
+            for start, texts in text_slices(batch, 1, SLICE_BYTES):
                 out = []
-                for (doc, _), ids in zip(part, enc.encode([t for _, t in part]), strict=True):
+                docs_here = batch.column(0).slice(start, len(texts)).to_pylist()
+                for doc, ids in zip(docs_here, enc.encode([t or "" for t in texts]), strict=True):
                     ids += end
                     n, at, view = len(ids) // 4, 0, memoryview(ids)
                     size = n % capacity or capacity

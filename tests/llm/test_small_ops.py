@@ -64,6 +64,28 @@ def test_op5_short_items_and_removal(spark, docs, empty):
     assert fmindex.find(empty, bench).count() == 0
 
 
+def test_op5_worker_memory_follows_the_shard():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(3000)]
+    say = lambda n: " ".join(words[i] for i in rng.integers(0, 3000, n))
+    items = [(str(i), say(30)) for i in range(50)]
+    texts = [f"{say(200)} {items[i % 50][1]} {say(200)}" for i in range(3200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    block = type("Block", (), {"value": fmindex.Phrases([*items, ("all", " ".join(words))])})
+    seen = []
+    tracemalloc.start()
+    for n, flags in fmindex._scan(iter([batch]), [block], 0, lambda pa, part, texts, words, flags, items: (len(texts), flags)):
+        seen.append((n, len(flags), int(flags.sum()) >= 30 * n))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(n for n, _, _ in seen) == 3200 and sum(n for _, n, _ in seen) == 3200 * 430 and all(hit for _, _, hit in seen)
+    assert batch.nbytes > 7_000_000 and peak < 100_000_000
+
+
 def test_fm_index_against_scan():
     rng = np.random.default_rng(3)
     text = rng.integers(0, 4, 600).astype(np.int32)
